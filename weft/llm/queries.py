@@ -9,6 +9,19 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(docs: DataFrame, of: int, which: int) -> DataFrame:
+    remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(of))
+    return docs.withColumn("held_out", F.coalesce(remainder == which, F.lit(False)))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import fit, languages
+
+    docs = _held_out(_read(spark, sf_dir, "documents"), 4, 2)
+    found = languages(docs, fit(docs.where("not held_out")))
+    return _held_out(found, 4, 2).select("doc_id", "held_out", "lang_pred", "score", "shares")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -21,6 +34,14 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return digest(contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), width=10))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, score
+
+    docs = _held_out(_read(spark, sf_dir, "documents").select("doc_id", "text"), 3, 1)
+    learned = fit(docs.where("not held_out"), _read(spark, sf_dir, "labels"))
+    return score(docs, learned).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """A public tokenizer's file on this machine; every operator takes the path as a parameter."""
     import public_tokenizers

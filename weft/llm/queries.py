@@ -49,12 +49,24 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_array import digest, suffix_repeats
+
+    return digest(suffix_repeats(_read(spark, sf_dir, "documents"), width=200))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(_read(spark, sf_dir, "documents"), tokenizer_path(), room=4096, end_id=1)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .block_anchors import block_repeats, digest
+
+    return digest(block_repeats(_read(spark, sf_dir, "documents"), width=35))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 

@@ -9,6 +9,20 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_counts import token_counts
+
+    return token_counts(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    return license_scan(_read(spark, sf_dir, "documents"))
+
+
 def _held_out(docs: DataFrame, of: int, which: int) -> DataFrame:
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(of))
     return docs.withColumn("held_out", F.coalesce(remainder == which, F.lit(False)))

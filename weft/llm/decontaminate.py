@@ -233,6 +233,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: s
     return rows.withColumnRenamed("key", key)
 
 
+def without_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: str = "text") -> DataFrame:
+    """``docs`` with the hit words of each text taken out, from a run's first byte to its last.
+
+    All columns stay, whatever their names; null texts stay null.
+    """
+    names = docs.columns
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text).alias("own"))
+    cleaned = contaminated(packed, benchmark, width, "own", "row", clean=True)
+    changed = F.size("hit_spans") > 0
+    return cleaned.select(*[F.when(changed, F.col("text")).otherwise(F.col(f"row.`{c}`")).alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in names])
+
+
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """Counts and a digest of what ``contaminated`` found."""
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("bigint"), lambda n, s: n + s[1] - s[0])

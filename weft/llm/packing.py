@@ -107,8 +107,14 @@ def _patterns(lengths: np.ndarray, counts: np.ndarray, room: int, most: int) ->
 def plan(histogram: dict[int, int], room: int = 4096, most: int = 1500) -> list[tuple[tuple[int, ...], int]]:
     """(pattern, repeats): together they use every piece once.
 
-    The number of entries depends on the number of distinct lengths only.
+    The number of entries depends on the number of distinct lengths only.  Where few
+    patterns fill a sequence, the fit may leave worse residuals than it saves: of
+    plans whose patterns must be so full, the one with fewest sequences is taken.
     """
+    return min((_plan(histogram, room, most, full) for full in (0.98, 0.999, 2.0)), key=lambda p: sum(times for _, times in p))
+
+
+def _plan(histogram: dict[int, int], room: int, most: int, full: float) -> list[tuple[tuple[int, ...], int]]:
     left = {n: c for n, c in histogram.items() if c}
     out: list[tuple[tuple[int, ...], int]] = []
 
@@ -127,7 +133,7 @@ def plan(histogram: dict[int, int], room: int = 4096, most: int = 1500) -> list[
         use((room,), left[room])
     if len(lengths):
         counts = np.array([left[n] for n in lengths.tolist()], float)
-        patterns = [p for p in _patterns(lengths, counts, room, most) if sum(p) > 0.98 * room]
+        patterns = [p for p in _patterns(lengths, counts, room, most) if sum(p) > full * room]
         if patterns:
             row = {n: k for k, n in enumerate(lengths.tolist())}
             a = np.zeros((len(lengths), len(patterns)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut
+
 
 # ---- metrics of two columns, true and predicted
 def accuracy_score(df: DataFrame, true: str, pred: str) -> DataFrame:
@@ -183,14 +185,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_iter:
     reach doubles with each round.
     """
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).where("x is not null and y is not null").distinct()
-    both = both.persist()
-    labels = both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("c")).persist()
+    both = cut(both)
+    labels = cut(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("c")))
     done = False
     for _ in range(max_iter):
         near = both.join(labels.select(F.col("x").alias("y"), "c"), "y").groupBy("x").agg(F.min("c").alias("n"))
         low = labels.join(near, "x").select("x", "c", F.least("c", "n").alias("n"))
         jump = low.join(labels.select(F.col("x").alias("n"), F.col("c").alias("j")), "n", "left")
-        new = jump.select("x", "c", F.least("n", F.coalesce("j", "n")).alias("n")).persist()
+        new = cut(jump.select("x", "c", F.least("n", F.coalesce("j", "n")).alias("n")))
         if new.where("c <> n").isEmpty():
             done = True
             break

@@ -6,7 +6,7 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -37,3 +37,11 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(shutil.make_archive(str(folder / top.name), "zip", folder / "code"))
     shutil.rmtree(folder / "code")
     _SHIPPED.add(context.applicationId)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder: its plan starts anew from there."""
+    context = df.sparkSession.sparkContext
+    if not (context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="weft-checkpoints-"))
+    return df.checkpoint()

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .text import ALNUM, LOWER, U, between, buffer, prefix, slices, words
 
-#: Words of a shingle, shingles of a winnowing window, and how far an alignment may stray.
+#: Words of a shingle, shingles of a winnowing window, and how far an alignment may stray at most (else a quarter of its template).
 SHINGLE, WINDOW, BAND = 3, 2, 8
 #: Most bytes of all templates together.
 MOST = 4 << 20
@@ -129,14 +129,15 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
                 a, b = int(first[i]), int(first[i + 1])
                 for k in range(int(np.searchsorted(known.keys, key, "left")), int(np.searchsorted(known.keys, key, "right"))):
                     owner, shift = int(known.owner[k]), place - a - int(known.place[k])
+                    template = known.words[owner]
+                    band = min(BAND, len(template) // 4)
                     # hits of one occurrence lie on near diagonals: align once for each
-                    if any((i, owner, shift + s) in tried for s in range(-BAND // 2, BAND // 2 + 1)):
+                    if any((i, owner, shift + s) in tried for s in range(-(band // 2), band // 2 + 1)):
                         continue
                     tried.add((i, owner, shift))
-                    template = known.words[owner]
-                    low = max(0, shift - BAND)
-                    high = min(b - a, shift + len(template) + BAND)
-                    n, x, y = align(template, hashes[a + low : a + high], shift - low, BAND)
+                    low = max(0, shift - band)
+                    high = min(b - a, shift + len(template) + band)
+                    n, x, y = align(template, hashes[a + low : a + high], shift - low, band)
                     if n and n / len(template) >= least:
                         x, y = x + low, y + low
                         found[i].append({"license": known.names[owner], "coverage": n / len(template), "start_word": x, "end_word": y, "start_byte": int(starts[a + x] - offsets[i]), "end_byte": int(ends[a + y - 1] - offsets[i]), "n": n})

@@ -1,11 +1,13 @@
 """Semantics that a plain translation gets wrong, and what SQL does not show."""
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from weft.frame import Frame
-from weft.operators import learn
+from weft.functions import media
+from weft.operators import learn, linalg, random
 from weft.sources import readers, writers
 from weft.streaming import sinks
 
@@ -104,3 +106,45 @@ def test_stream_of_files(spark, tmp_path):
     assert sum(seen) == 10
     agg = sinks.windowed_agg(sinks.read_stream(spark, str(tmp_path / "in"), "id bigint, ts timestamp"), "ts", "5 minutes", [], F.count("*").alias("n"))
     assert agg.isStreaming
+
+
+def test_linear_algebra(spark):
+    x = np.random.default_rng(0).normal(size=(50, 4))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "i bigint, v array<double>")
+    rows, s, v = linalg.svd(df, "i", "v", 4, 4)
+    u = np.array([r.u for r in rows.orderBy("i").collect()])
+    assert np.allclose(u * s @ v.T, x)
+    rows, r = linalg.qr(df, "i", "v", 4)
+    q = np.array([r.q for r in rows.orderBy("i").collect()])
+    assert np.allclose(q @ r, x) and np.allclose(q.T @ q, np.eye(4))
+    assert np.isclose(linalg.pca(df, "i", "v", 4, 4)[1].sum(), 1)
+    a = x[:4]
+    p, low, up = linalg.lu(a)
+    assert np.allclose(p @ low @ up, a) and np.allclose(np.triu(up), up)
+    assert np.allclose(linalg.lstsq(df.withColumn("y", F.expr("v[0] * 2 - v[3]")), "i", "v", "y", 4), [2, 0, 0, -1])
+
+
+def test_random_does_not_depend_on_partitions(spark):
+    df = spark.range(20000)
+    one = df.select("id", random.normal(["id"], 3).alias("r")).orderBy("id").toPandas()
+    two = df.repartition(7).select("id", random.normal(["id"], 3).alias("r")).orderBy("id").toPandas()
+    assert one.equals(two) and abs(one.r.mean()) < 0.03 and abs(one.r.std() - 1) < 0.03
+
+
+def test_media_headers(spark):
+    import io
+    import struct
+    import wave
+
+    sound = io.BytesIO()
+    with wave.open(sound, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(8000)
+        w.writeframes(struct.pack("<4h", 1, -2, 3, 4))
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + struct.pack(">II", 7, 5) + b"rest"
+    df = spark.createDataFrame([(1, bytearray(sound.getvalue())), (2, bytearray(png)), (3, None), (4, bytearray(b"junk"))], "k int, b binary")
+    got = df.select("k", media.audio_property("b").alias("a"), media.image_property("b").alias("i"), media.audio_decode("b").alias("s")).orderBy("k").collect()
+    assert (got[0].a.rate, got[0].a.frames, got[0].s) == (8000, 4, [1, -2, 3, 4])
+    assert (got[1].i.width, got[1].i.height, got[1].i.format) == (7, 5, "PNG")
+    assert got[2].s is None and got[3].i.width is None

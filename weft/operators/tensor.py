@@ -112,6 +112,113 @@ class Tensor:
         df = left.join(right, "__k").groupBy(*stay).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
         return Tensor(df.select(*[F.col(a).alias(f"i{k}") for k, a in enumerate(stay)], "v"), len(stay))
 
+    def expand_dims(self, axis: int) -> Tensor:
+        df = self.df.select(*[F.col(f"i{k}").alias(f"i{k + (k >= axis)}") for k in range(self.ndim)], F.lit(0).alias(f"i{axis}"), "v")
+        return Tensor(df.select(*[f"i{k}" for k in range(self.ndim + 1)], "v"), self.ndim + 1)
+
+    def squeeze(self, axis: int) -> Tensor: return Tensor(self.df.select(*[F.col(a).alias(f"i{k - (k > axis)}") for k, a in enumerate(self.axes) if k != axis], "v"), self.ndim - 1)
+    def swapaxes(self, a: int, b: int) -> Tensor:
+        order = list(range(self.ndim))
+        order[a], order[b] = b, a
+        return self.transpose(order)
+
+    def moveaxis(self, source: int, to: int) -> Tensor:
+        order = [k for k in range(self.ndim) if k != source]
+        order.insert(to, source)
+        return self.transpose(order)
+
+    def ravel(self, shape: tuple[int, ...]) -> Tensor:
+        size = 1
+        for n in shape:
+            size *= n
+        return self.reshape(shape, (size,))
+
+    def repeat(self, n: int, axis: int) -> Tensor: return Tensor(self.df.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(f"i{axis}", F.col(f"i{axis}") * n + F.col("__k")).drop("__k"), self.ndim)
+    def tile(self, n: int, axis: int, size: int) -> Tensor: return Tensor(self.df.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(f"i{axis}", F.col(f"i{axis}") + F.col("__k") * size).drop("__k"), self.ndim)
+    def delete(self, places: list[int], axis: int) -> Tensor:
+        a = F.col(f"i{axis}")
+        before = F.lit(0)
+        for p in places:
+            before = before + (a > p).cast("int")
+        return Tensor(self.df.where(~a.isin(places)).withColumn(f"i{axis}", a - before), self.ndim)
+
+    def take(self, places: list[int], axis: int) -> Tensor:
+        """In the order of ``places``, which may repeat."""
+        where = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(k).alias("k")) for k, p in enumerate(places)])
+        df = self.df.withColumn("__t", F.explode(F.filter(where, lambda x: x["p"] == F.col(f"i{axis}")))).withColumn(f"i{axis}", F.col("__t.k")).drop("__t")
+        return Tensor(df, self.ndim)
+
+    def compress(self, keep: list[bool], axis: int) -> Tensor: return self.take([k for k, x in enumerate(keep) if x], axis)
+    def split(self, sections: int, axis: int, size: int) -> list[Tensor]:
+        step = size // sections
+        return [self.slice(axis, k * step, (k + 1) * step) for k in range(sections)]
+
+    @staticmethod
+    def stack(tensors: list[Tensor], axis: int = 0) -> Tensor:
+        out = None
+        for k, t in enumerate(tensors):
+            one = t.expand_dims(axis).df.withColumn(f"i{axis}", F.lit(k))
+            out = one if out is None else out.unionByName(one)
+        return Tensor(out, tensors[0].ndim + 1)
+
+    def sort(self, axis: int = -1) -> Tensor:
+        axis %= self.ndim
+        w = Window.partitionBy(*[a for k, a in enumerate(self.axes) if k != axis]).orderBy("v")
+        return Tensor(self.df.withColumn(f"i{axis}", F.row_number().over(w) - 1), self.ndim)
+
+    def argsort(self, axis: int = -1) -> Tensor:
+        axis %= self.ndim
+        w = Window.partitionBy(*[a for k, a in enumerate(self.axes) if k != axis]).orderBy("v", f"i{axis}")
+        made = self.df.withColumn("__r", F.row_number().over(w) - 1)
+        return Tensor(made.select(*[F.col("__r").alias(a) if k == axis else F.col(a) for k, a in enumerate(self.axes)], F.col(f"i{axis}").cast("double").alias("v")), self.ndim)
+
+    partition, argpartition = sort, argsort
+    def topk(self, k: int, axis: int = -1) -> Tensor:
+        """The largest of each line, largest first."""
+        axis %= self.ndim
+        w = Window.partitionBy(*[a for j, a in enumerate(self.axes) if j != axis]).orderBy(F.desc("v"), f"i{axis}")
+        return Tensor(self.df.withColumn("__r", F.row_number().over(w) - 1).where(F.col("__r") < k).withColumn(f"i{axis}", F.col("__r")).drop("__r"), self.ndim)
+
+    def percentile(self, q: float, axis: int | None = None) -> Tensor:
+        stay = [a for k, a in enumerate(self.axes) if axis is not None and k != axis]
+        df = self.df.groupBy(*stay).agg(F.percentile("v", q / 100).alias("v"))
+        return Tensor(df.select(*[F.col(a).alias(f"i{k}") for k, a in enumerate(stay)], "v"), len(stay))
+
+    def average(self, weights: Tensor, axis: int) -> Tensor:
+        """``weights`` is a vector along the axis."""
+        w = weights.df.select(F.col("i0").alias(f"i{axis}"), F.col("v").alias("w"))
+        stay = [a for k, a in enumerate(self.axes) if k != axis]
+        df = self.df.join(w, f"i{axis}").groupBy(*stay).agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"))
+        return Tensor(df.select(*[F.col(a).alias(f"i{k}") for k, a in enumerate(stay)], "v"), len(stay))
+
+    def cov(self) -> Tensor:
+        """Of columns of a matrix without gaps."""
+        b = self.df.select("i0", F.col("i1").alias("j"), F.col("v").alias("w"))
+        return Tensor(self.df.join(b, "i0").groupBy("i1", "j").agg(F.covar_samp("v", "w").alias("v")).select(F.col("i1").alias("i0"), F.col("j").alias("i1"), "v"), 2)
+
+    def corrcoef(self) -> Tensor:
+        b = self.df.select("i0", F.col("i1").alias("j"), F.col("v").alias("w"))
+        return Tensor(self.df.join(b, "i0").groupBy("i1", "j").agg(F.corr("v", "w").alias("v")).select(F.col("i1").alias("i0"), F.col("j").alias("i1"), "v"), 2)
+
+    def trapezoid(self, axis: int = -1, dx: float = 1.0) -> Tensor:
+        axis %= self.ndim
+        stay = [a for k, a in enumerate(self.axes) if k != axis]
+        w = Window.partitionBy(*stay).orderBy(f"i{axis}")
+        df = self.df.withColumn("v", (F.col("v") + F.lag("v").over(w)) * (dx / 2)).groupBy(*stay).agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("v"))
+        return Tensor(df.select(*[F.col(a).alias(f"i{k}") for k, a in enumerate(stay)], "v"), len(stay))
+
+    def isin(self, values: list[float]) -> Tensor: return self.map(lambda v: v.isin(values).cast("double"))
+    def flatnonzero(self, shape: tuple[int, ...]) -> DataFrame: return self.ravel(shape).df.where("v <> 0").select("i0")
+    def fill_diagonal(self, value: float) -> Tensor: return Tensor(self.df.withColumn("v", F.when(F.col("i0") == F.col("i1"), F.lit(float(value))).otherwise(F.col("v"))), self.ndim)
+    def diagflat(self) -> Tensor: return Tensor(self.df.select("i0", F.col("i0").alias("i1"), "v"), 2)
+    def allclose(self, other: Tensor, rtol: float = 1e-5, atol: float = 1e-8) -> DataFrame:
+        return self.zip(other, lambda a, b: (F.abs(a - b) <= atol + rtol * F.abs(b)).cast("double")).df.agg((F.min("v") == 1).alias("allclose"))
+
+    def array_equal(self, other: Tensor) -> DataFrame: return self.allclose(other, 0.0, 0.0).withColumnRenamed("allclose", "array_equal")
+    def setdiff1d(self, other: Tensor) -> DataFrame: return self.df.select("v").distinct().join(other.df.select("v").distinct(), "v", "left_anti")
+    def inner(self, other: Tensor) -> Tensor: return self.matmul(other.transpose())
+    def vdot(self, other: Tensor) -> Tensor: return self.zip(other, lambda a, b: a * b).reduce("sum")
+
     def norm(self) -> Tensor: return Tensor(self.df.agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("v")), 0)
 
 

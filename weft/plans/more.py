@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import numeric as U
 from ..lite import LiteFrame, col
 from ..operators import linalg as N
 from ..operators import models as O
@@ -31,3 +32,33 @@ query("remote_spawn", "SELECT range AS i, range * range AS result FROM range(5)"
 query("lite_groupby", "SELECT o_orderstatus, round(sum(o_totalprice), 2) AS o_totalprice_sum, count(*) AS n FROM orders WHERE o_custkey > 100 GROUP BY ALL")(lambda get: rounded(LiteFrame(get("orders").df).filter(col("O_CUSTKEY") > 100).groupby("o_orderstatus").agg({"o_totalprice": "sum"}, n=("o_orderkey", "size")).df, 2))
 query("lite_merge", "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")(lambda get: LiteFrame(get("nation").df).merge(LiteFrame(get("region").df), left_on="n_regionkey", right_on="r_regionkey").select("n_nationkey", "n_name", "r_name").df)
 query("lite_select_expr", "SELECT o_orderkey, o_totalprice / 2 AS half FROM orders")(lambda get: LiteFrame(get("orders").df).select_expr("o_orderkey", "o_totalprice / 2 as half").df)
+
+for name, make, sql in [
+    ("exp2", lambda c: U.exp2(c / 50), "pow(2, value / 50)"), ("copysign", lambda c: U.copysign(c, F.lit(-1.0)), "-abs(value)"), ("fix", lambda c: U.fix(-c), "trunc(-value)"), ("fmod", lambda c: U.fmod(c, F.lit(7.0)), "fmod(value, 7.0)"),
+    ("isclose", lambda c: U.isclose(c, F.lit(20.0), 0.01).cast("int"), "CAST(abs(value - 20) <= 1e-8 + 0.2 AS INT)"), ("ldexp", lambda c: U.ldexp(c, F.lit(3)), "value * 8"), ("modf", lambda c: U.modf(c)["fraction"], "value - trunc(value)"), ("logaddexp2", lambda c: U.logaddexp2(c / 50, F.lit(1.0)), "log2(pow(2, value / 50) + 2)"),
+    ("expit", lambda c: U.expit(c / 50), "1 / (1 + exp(-value / 50))"), ("logit", lambda c: U.logit((c + 1) / 1e6), "ln((value + 1) / 1e6 / (1 - (value + 1) / 1e6))"), ("softplus", lambda c: U.softplus(c / 50), "ln(1 + exp(value / 50))"), ("xlogy", lambda c: U.xlogy(c, F.lit(3.0)), "value * ln(3)"), ("entr", lambda c: U.entr(c + 1), "-(value + 1) * ln(value + 1)"), ("rel_entr", lambda c: U.rel_entr(c + 1, F.lit(2.0)), "(value + 1) * ln((value + 1) / 2)"), ("kl_div", lambda c: U.kl_div(c + 1, F.lit(2.0)), "(value + 1) * ln((value + 1) / 2) - (value + 1) + 2"), ("poch", lambda c: U.poch(c / 50, 3), "(value / 50) * (value / 50 + 1) * (value / 50 + 2)"),
+    ("gammaln", lambda c: U.special("gammaln")(c / 10 + 1), "lgamma(value / 10 + 1)"), ("gamma", lambda c: U.special("gamma")(c / 1000 + 1), "gamma(value / 1000 + 1)"), ("complex_abs", lambda c: U.absolute(U.complex_(c, F.lit(3.0))), "sqrt(value * value + 9)"), ("complex_angle", lambda c: U.angle(U.conj(U.complex_(c, F.lit(3.0)))), "atan2(-3.0, value)"),
+]:
+    query(f"numeric_{name}", f"SELECT event_id, round(CAST({sql} AS DOUBLE), 6) + 0.0 AS r FROM events")(lambda get, make=make: get("events").df.select("event_id", (F.round(make(F.col("value")).cast("double"), 6) + F.lit(0.0)).alias("r")))
+query("numeric_softmax", "SELECT vec_id, round(exp(embedding[1]::DOUBLE) / (SELECT sum(exp(x::DOUBLE)) FROM (SELECT unnest(embedding) AS x)), 8) AS r FROM embeddings")(lambda get: get("embeddings").df.select("vec_id", F.round(F.get(U.softmax(F.col("embedding")), 0), 8).alias("r")))
+for name, make, sql in [
+    ("sort", lambda t: t.sort(1), f"SELECT i0, row_number() OVER (PARTITION BY i0 ORDER BY v) - 1 AS i1, round(v, 6) AS v FROM {_M}"),
+    ("argsort", lambda t: t.argsort(1), f"SELECT i0, row_number() OVER (PARTITION BY i0 ORDER BY v, i1) - 1 AS i1, CAST(i1 AS DOUBLE) AS v FROM {_M}"),
+    ("topk", lambda t: t.topk(3, 1), f"SELECT i0, row_number() OVER (PARTITION BY i0 ORDER BY v DESC, i1) - 1 AS i1, round(v, 6) AS v FROM {_M} QUALIFY row_number() OVER (PARTITION BY i0 ORDER BY v DESC, i1) <= 3"),
+    ("percentile", lambda t: t.percentile(30, 0), f"SELECT i1 AS i0, round(quantile_cont(v, 0.3), 6) AS v FROM {_M} GROUP BY i1"),
+    ("repeat", lambda t: t.repeat(2, 1), f"SELECT i0, i1 * 2 + k AS i1, round(v, 6) AS v FROM {_M}, (SELECT unnest([0, 1]) AS k)"),
+    ("tile", lambda t: t.tile(2, 1, 64), f"SELECT i0, i1 + k * 64 AS i1, round(v, 6) AS v FROM {_M}, (SELECT unnest([0, 1]) AS k)"),
+    ("delete", lambda t: t.delete([0, 5], 1), f"SELECT i0, i1 - CAST(i1 > 0 AS INT) - CAST(i1 > 5 AS INT) AS i1, round(v, 6) AS v FROM {_M} WHERE i1 NOT IN (0, 5)"),
+    ("take", lambda t: t.take([7, 3], 1), f"SELECT i0, CASE i1 WHEN 7 THEN 0 ELSE 1 END AS i1, round(v, 6) AS v FROM {_M} WHERE i1 IN (3, 7)"),
+    ("stack", lambda t: Tensor.stack([t, t * 2.0]), f"SELECT 0 AS i0, i0 AS i1, i1 AS i2, round(v, 6) AS v FROM {_M} UNION ALL SELECT 1, i0, i1, round(v * 2, 6) FROM {_M}"),
+    ("moveaxis", lambda t: t.moveaxis(0, 1), f"SELECT i1 AS i0, i0 AS i1, round(v, 6) AS v FROM {_M}"),
+    ("cov", lambda t: Tensor(t.cov().df.withColumn("v", F.round("v", 6) + F.lit(0.0)), 2), f"SELECT a.i1 AS i0, b.i1, round(covar_samp(a.v, b.v), 6) + 0.0 AS v FROM {_M} a JOIN {_M} b USING (i0) GROUP BY a.i1, b.i1"),
+    ("corrcoef", lambda t: t.corrcoef(), f"SELECT a.i1 AS i0, b.i1, round(corr(a.v, b.v), 6) AS v FROM {_M} a JOIN {_M} b USING (i0) GROUP BY a.i1, b.i1"),
+    ("trapezoid", lambda t: t.trapezoid(1), f"SELECT i0, round(sum((v + l) / 2), 6) AS v FROM (SELECT i0, v, lag(v) OVER (PARTITION BY i0 ORDER BY i1) AS l FROM {_M}) GROUP BY i0"),
+    ("average", lambda t: t.average(Tensor(t.df.select("i1").distinct().select(F.col("i1").alias("i0"), (F.col("i1") + 1.0).alias("v")), 1), 1), f"SELECT i0, round(sum(v * (i1 + 1)) / sum(i1 + 1), 6) AS v FROM {_M} GROUP BY i0"),
+    ("fill_diagonal", lambda t: t.fill_diagonal(9), f"SELECT i0, i1, CASE WHEN i0 = i1 THEN 9 ELSE round(v, 6) END AS v FROM {_M}"),
+    ("vdot", lambda t: t.vdot(t), f"SELECT round(sum(v * v), 6) AS v FROM {_M}"),
+]:
+    query(f"tensor_{name}", sql)(lambda get, make=make: rounded(make(_T(get)).df, 6))
+query("tensor_allclose", "SELECT true AS allclose")(lambda get: (lambda t: t.allclose(t + 1e-9))(_T(get)))
+query("tensor_array_equal", "SELECT false AS array_equal")(lambda get: (lambda t: t.array_equal(t + 1e-6))(_T(get)))

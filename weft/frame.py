@@ -323,6 +323,10 @@ class Frame:
         """Dense numbers from 0 in the frame's order, without one task for all rows: ranges first, then places within."""
         return self._with(R.row_number(self.df, self.order, name))
 
+    def cumulative(self, column: str, how: str, to: str) -> Frame:
+        """Running sum, prod, max, min or count of a column over all rows, in many tasks."""
+        return self._with(R.cumulative(self.df, self.order, column, how, to))
+
     def where(self, condition, other=None, columns=None) -> Frame: return self._with(self.df.withColumns({c: F.when(_col(condition), F.col(c)).otherwise(_col(other)) for c in columns or self.columns}))
     def mask(self, condition, other=None, columns=None) -> Frame: return self._with(self.df.withColumns({c: F.when(_col(condition), _col(other)).otherwise(F.col(c)) for c in columns or self.columns}))
     def dropna(self, how: str = "any", thresh: int | None = None, subset=None) -> Frame: return self._with(self.df.dropna(how, thresh, subset))

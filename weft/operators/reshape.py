@@ -4,20 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import cut
 from .aggregate import reduce
 
 
+def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """Rows dealt by range of the order, ``__p`` the number of the range.
+
+    Written once: two reads of a range shuffle need not draw the same bounds.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return cut(df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id()))
+
+
 def row_number(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Dense numbers from 0.  Rows are dealt by range of the order, counted, and numbered within a range."""
-    ranged = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    within = Window.partitionBy("__p").orderBy(*order)
-    local = ranged.withColumn("__i", F.row_number().over(within) - 1)
-    # one row for each range: a few hundred at most
-    sizes = local.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    """Dense numbers from 0, without one task for all rows: numbers within ranges, and what stands before each range."""
+    ranged = _ranged(df, order)
+    local = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1)
+    # one row for each range: as many as there are shuffle partitions
+    sizes = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
     return local.join(F.broadcast(before), "__p").withColumn(name, F.col("__b") + F.col("__i")).drop("__p", "__i", "__b")
 
 
+_CUMULATE = {"sum": (F.sum, lambda a, b: a + b), "prod": (F.product, lambda a, b: a * b), "max": (F.max, F.greatest), "min": (F.min, F.least), "count": (F.count, lambda a, b: a + b)}
+
+
+def cumulative(df: DataFrame, order: list[str], column: str, how: str, name: str) -> DataFrame:
+    """Running ``how`` over all rows in order, without one task for all: within ranges, and what earlier ranges give."""
+    f, join = _CUMULATE[how]
+    ranged = _ranged(df, order)
+    local = ranged.withColumn("__c", f(column).over(Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    whole = ranged.groupBy("__p").agg(f(column).alias("__t"))
+    before = whole.select("__p", f("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)).alias("__b") if how != "count" else F.sum("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)).alias("__b"))
+    made = F.when(F.col("__b").isNull(), F.col("__c")).when(F.col("__c").isNull(), F.col("__b")).otherwise(join(F.col("__b"), F.col("__c")))
+    return local.join(F.broadcast(before), "__p").withColumn(name, F.when(F.col(column).isNotNull(), made)).drop("__p", "__c", "__b")
+
+
 def pairs(df: DataFrame, columns: list[str], f, name: str) -> DataFrame:
     """(a, b, value) of every pair of columns, one pass over the rows."""
     made = df.agg(*[f(a, b).alias(f"{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns)])

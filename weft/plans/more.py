@@ -62,3 +62,5 @@ for name, make, sql in [
     query(f"tensor_{name}", sql)(lambda get, make=make: rounded(make(_T(get)).df, 6))
 query("tensor_allclose", "SELECT true AS allclose")(lambda get: (lambda t: t.allclose(t + 1e-9))(_T(get)))
 query("tensor_array_equal", "SELECT false AS array_equal")(lambda get: (lambda t: t.array_equal(t + 1e-6))(_T(get)))
+for how, sql in {"sum": "sum(value)", "max": "max(value)", "min": "min(value)", "count": "count(value)"}.items():
+    query(f"frame_cum{how}", f"SELECT event_id, round(CAST({sql} OVER (ORDER BY event_id) AS DOUBLE), 4) AS r FROM events")(lambda get, how=how: get("events").cumulative("value", how, "r").df.select("event_id", F.round(F.col("r").cast("double"), 4).alias("r")))

@@ -58,7 +58,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, vector: str = "embeddi
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False))).withColumn("v", F.when(F.col("sound"), F.transform("v", lambda x: x + F.lit(0.0))))
     marked = table(rows.withColumn("print", F.when(F.col("sound"), F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.col("v").cast("array<string>")).cast("binary"), 256))), "vectors")
     distinct = table(marked.where("sound").groupBy("print").agg(F.count("*").alias("copies"), F.min("key").alias("low"), F.first("label").alias("label"), F.first("v").alias("v")).withColumn("node", F.monotonically_increasing_id()), "distinct")
-    n, sizes = distinct.count(), [r.d for r in distinct.select(F.size("v").alias("d")).distinct().limit(1000).collect()]
+    n, sizes = distinct.count(), [r.d for r in distinct.select(F.size("v").alias("d")).distinct().collect()]
     found = None
     for size in sizes:
         own = distinct.where(F.size("v") == size)

@@ -59,6 +59,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = ROW
     shares = {r["lang"]: min(1.0, 1.2 * rows / r["count"]) for r in per.collect()}
     share = F.element_at(F.create_map(*[F.lit(x) for n in names for x in (n, shares[n])]), F.col("lang"))
     chosen = known.where(F.col("lang").isin(names)).where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
+    # copies share a hash: of each text in a language one teaches
+    chosen = chosen.select("text", "lang").dropDuplicates(["lang", "text"])
     number = {n: k for k, n in enumerate(names)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

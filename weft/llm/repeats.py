@@ -179,8 +179,8 @@ def _stretches(texts: DataFrame, unit: type, width: int) -> DataFrame:
 MARKS = "d1 bigint, d2 bigint, marks array<int>"
 
 
-def _settle(parts: DataFrame, unit: type, width: int, repeated: Callable) -> DataFrame:
-    """MARKS of every distinct stretch that has repeated windows."""
+def _settle(parts: DataFrame, unit: type, width: int, repeated: Callable) -> tuple[DataFrame, DataFrame]:
+    """MARKS of every distinct stretch that has repeated windows, and the table that they are made from."""
     grouped = table(parts.groupBy("value", "d1", "d2").agg(F.count("*").alias("copies"), F.first("count").alias("count"), F.first("part").alias("part")), "stretches")
     sizes = grouped.groupBy("value").agg(F.sum(F.length("part").cast("bigint")).alias("bytes"))
     total = grouped.agg(F.sum(F.length("part").cast("bigint")).alias("n")).first()["n"] or 0
@@ -219,7 +219,7 @@ def _settle(parts: DataFrame, unit: type, width: int, repeated: Callable) -> Dat
     twice = spread.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     rest = spread.join(twice, ["h1", "h2"]).groupBy("d1", "d2").agg(F.flatten(F.collect_list(F.array("at", F.lit(1)))).alias("marks"))
     every = several.unionByName(found).unionByName(rest)
-    return every.groupBy("d1", "d2").agg(F.flatten(F.collect_list("marks")).alias("marks"))
+    return every.groupBy("d1", "d2").agg(F.flatten(F.collect_list("marks")).alias("marks")), split
 
 
 def _spans(texts: DataFrame, unit: type, width: int) -> DataFrame:
@@ -260,6 +260,8 @@ def repeats(docs: DataFrame, unit: type, width: int, repeated: Callable, text: s
     """
     profile = table(_profile(docs, unit, width, text, key), "profile")
     distinct = table(profile.groupBy("sha").agg(F.min(F.struct("source", "key")).alias("low"), F.count("*").alias("rows"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in ("value", "begin", "count", "own"))), "distinct")
+    slim = table(profile.select("key", "sha", "source", "n"), "profile")
+    drop_table(profile)
     some = distinct.where(F.size("value") > 0)
     each = some.select("sha", F.explode("value").alias("value"))
     shared = each.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
@@ -270,16 +272,20 @@ def repeats(docs: DataFrame, unit: type, width: int, repeated: Callable, text: s
     # one row of each text: two with the same key as well are harmless copies, told apart below
     joined = rows.join(named, (rows.source == named.source) & rows.key.eqNullSafe(named.key)).select("sha", "text", "value", "begin", "count", "own", "shared")
     texts = table(_extract(joined, unit, width), "candidates")
-    marks = _settle(_stretches(texts, unit, width), unit, width, repeated)
+    counted = table(distinct.select("sha", "rows", "n"), "counted")
+    drop_table(distinct)
+    marks, split = _settle(_stretches(texts, unit, width), unit, width, repeated)
     places = texts.select("sha", F.explode(F.arrays_zip("begin", "d1", "d2")).alias("s")).select("sha", "s.*").distinct()
     marked = places.join(marks, ["d1", "d2"]).groupBy("sha").agg(F.collect_list(F.struct("begin", "marks")).alias("marked"))
     found = table(_spans(texts.select("sha", "text").join(marked, "sha"), unit, width), "spans").dropDuplicates(["sha"])
+    drop_table(texts)
+    drop_table(split)
     empty = hashlib.sha256(b"").hexdigest()
     copied = (F.col("rows") > 1) & (F.col("n") >= width)
-    result = distinct.select("sha", "rows", "n").join(found, "sha", "left").select(
+    result = counted.join(found, "sha", "left").select(
         "sha",
         F.when(copied, F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0).cast("bigint"))).alias("n_removed"),
         F.when(copied, F.array(F.lit(0).cast("bigint"), F.col("n"))).otherwise(F.coalesce("spans", F.array().cast("array<bigint>"))).alias("spans"),
         F.when(copied, F.lit(empty)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha")))).alias("kept_sha256"),
     )
-    return profile.select("key", "sha", "source", "n").join(result, "sha").drop("sha").withColumnRenamed("key", key)
+    return slim.join(result, "sha").drop("sha").withColumnRenamed("key", key)

@@ -39,7 +39,7 @@ for how, sql in {"first": "arg_min(value, event_id)", "last": "arg_max(value, ev
     query(f"reduce_{how}", f"SELECT {sql} AS r FROM events")(lambda get, how=how: get("events").agg(r=("value", how)))
 query("groupby_prod", "SELECT o_orderstatus, round(product(1 + o_custkey % 3 / 1e6), 8) AS r FROM orders GROUP BY ALL")(lambda get: rounded(get("orders").assign(x=lambda f: f["o_custkey"] % 3 / 1e6 + 1).groupby("o_orderstatus").agg(r=("x", "prod")).df, 8))
 query("reduce_prod", "SELECT round(product(1 + o_custkey % 3 / 1e6), 8) AS r FROM orders")(lambda get: rounded(get("orders").assign(x=lambda f: f["o_custkey"] % 3 / 1e6 + 1).agg(r=("x", "prod")).df, 8))
-query("reduce_sum_empty", "SELECT 0.0 AS zero, CAST(NULL AS DOUBLE) AS missing, 1.0 AS one")(lambda get: (lambda e: Frame(e.df.agg(F.coalesce(F.sum("o_totalprice"), F.lit(0.0)).alias("zero"), F.sum("o_totalprice").alias("missing"), F.coalesce(F.product("o_totalprice"), F.lit(1.0)).alias("one"))))(get("orders").query("o_orderkey < 0")))
+query("reduce_sum_empty", "SELECT CAST(0 AS DOUBLE) AS zero, CAST(NULL AS DOUBLE) AS missing, CAST(1 AS DOUBLE) AS one")(lambda get: (lambda e: Frame(e.df.agg(F.coalesce(F.sum("o_totalprice"), F.lit(0.0)).alias("zero"), F.sum("o_totalprice").alias("missing"), F.coalesce(F.product("o_totalprice"), F.lit(1.0)).alias("one"))))(get("orders").query("o_orderkey < 0")))
 query("groupby_str_concat", "SELECT r_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey) AS r FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")(lambda get: Frame(get("nation").merge(get("region"), left_on="n_regionkey", right_on="r_regionkey").df, ["n_nationkey"]).groupby("r_regionkey").agg(r=("n_name", "str_concat")))
 query("groupby_mode", "SELECT o_custkey % 10 AS k, min(o_orderpriority) AS r FROM (SELECT o_custkey, o_orderpriority, rank() OVER (PARTITION BY o_custkey % 10 ORDER BY n DESC) AS p FROM (SELECT o_custkey % 10 AS o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL)) WHERE p = 1 GROUP BY ALL")(lambda get: get("orders").assign(k=lambda f: f["o_custkey"] % 10).df.withColumn("k", F.col("k").cast("bigint")).groupBy("k").agg(F.mode("o_orderpriority", True).alias("r")))
 query("groupby_dropna_false", "SELECT nullif(o_orderstatus, 'P') AS k, count(*) AS n FROM orders GROUP BY ALL")(lambda get: get("orders").assign(k=lambda f: f["o_orderstatus"].mask(f["o_orderstatus"] == "P")).groupby("k", dropna=False).agg(n=("o_orderkey", "size")))

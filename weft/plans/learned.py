@@ -16,7 +16,7 @@ _pred = lambda get: get("orders").df.selectExpr("cast(o_totalprice > 250000 as i
 _sql = "(SELECT CAST(o_totalprice > 250000 AS INT) AS y, CAST(o_custkey % 1000 > 400 AS INT) AS p, (o_custkey % 97) / 97.0 AS s FROM orders)"
 query("learn_accuracy", f"SELECT round(avg(CAST(y = p AS INT)), 8) AS accuracy FROM {_sql}")(lambda get: rounded(M.accuracy_score(_pred(get), "y", "p"), 8))
 query("learn_confusion", f'SELECT y AS "true", p AS pred, count(*) AS n FROM {_sql} GROUP BY ALL')(lambda get: M.confusion(_pred(get), "y", "p"))
-query("learn_precision_recall", f"SELECT l AS label, round(count(*) FILTER (y = l AND p = l) / nullif(count(*) FILTER (p = l), 0), 8) AS precision, round(count(*) FILTER (y = l AND p = l) / nullif(count(*) FILTER (y = l), 0), 8) AS recall, round(2 * count(*) FILTER (y = l AND p = l) / (count(*) FILTER (p = l) + count(*) FILTER (y = l)), 8) AS fscore, count(*) FILTER (y = l) AS support FROM {_sql}, (SELECT unnest([0, 1]) AS l) GROUP BY ALL")(lambda get: rounded(M.precision_recall_fscore(_pred(get), "y", "p"), 8))
+query("learn_precision_recall", f"SELECT l AS label, round(coalesce(count(*) FILTER (y = l AND p = l) / nullif(count(*) FILTER (p = l), 0), 0), 8) AS precision, round(coalesce(count(*) FILTER (y = l AND p = l) / nullif(count(*) FILTER (y = l), 0), 0), 8) AS recall, round(2 * count(*) FILTER (y = l AND p = l) / (count(*) FILTER (p = l) + count(*) FILTER (y = l)), 8) AS fscore, count(*) FILTER (y = l) AS support FROM {_sql}, (SELECT unnest([0, 1]) AS l) GROUP BY ALL")(lambda get: rounded(M.precision_recall_fscore(_pred(get), "y", "p"), 8))
 query("learn_log_loss", f"SELECT round(avg(-CASE WHEN y = 1 THEN ln(greatest(s, 1e-15)) ELSE ln(1 - s) END), 6) AS log_loss FROM {_sql}")(lambda get: rounded(M.log_loss(_pred(get), "y", "s"), 6))
 _roc = f"WITH b AS (SELECT s, sum(y) AS p, sum(1 - y) AS n FROM {_sql} GROUP BY ALL), c AS (SELECT s AS threshold, sum(n) OVER w / (SELECT sum(n) FROM b) AS fpr, sum(p) OVER w / (SELECT sum(p) FROM b) AS tpr FROM b WINDOW w AS (ORDER BY s DESC)) "
 query("learn_roc_curve", _roc + "SELECT round(threshold, 8) AS threshold, round(fpr, 8) AS fpr, round(tpr, 8) AS tpr FROM c")(lambda get: rounded(M.roc_curve(_pred(get), "y", "s"), 8))

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 3 << 20
+SLICE = 1 << 20
 U = np.uint64
 
 
@@ -104,38 +104,43 @@ def _bytes_table(seed: int) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of an odd base and of its inverse, grown on demand."""
+    """Powers of an odd base and of its inverse, grown on demand; one base for all seeds keeps workers small."""
 
-    def __init__(self, seed: int) -> None:
-        self.base = _odd(seed)
+    def __init__(self) -> None:
+        self.base = _odd(1)
         self.inverse = pow(self.base, -1, 1 << 64)
         self.up = self.down = np.ones(1, dtype=U)
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = 1 << max(16, int(n - 1).bit_length())
+            size = -(-n // (1 << 18)) << 18
             self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, U), np.full(size - 1, x, U)])) for x in (self.base, self.inverse))
         return self.up[:n], self.down[:n]
 
 
-_POWERS: dict[int, _Powers] = {}
+_POWERS = _Powers()
 
 
-def prefix(values: np.ndarray, seed: int) -> np.ndarray:
-    up, _ = _POWERS.setdefault(seed, _Powers(seed)).to(len(values) + 1)
+def _sums(values: np.ndarray) -> np.ndarray:
+    up, _ = _POWERS.to(len(values) + 1)
     out = np.zeros(len(values) + 1, dtype=U)
     np.cumsum(values * up[: len(values)], out=out[1:])
     return out
 
 
+def prefix(values: np.ndarray, seed: int) -> np.ndarray:
+    """Prefix sums of values that the seed has changed."""
+    return _sums(mix(values * U(_odd(seed + 200)) + U(seed)))
+
+
 def between(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
     """Hash of each span from its prefix sums."""
-    _, down = _POWERS.setdefault(seed, _Powers(seed)).to(len(sums))
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * U(0xA24BAED4963EE407))
+    _, down = _POWERS.to(len(sums))
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * U(_odd(seed + 300)))
 
 
 def byte_sums(raw: np.ndarray, seed: int) -> np.ndarray:
-    return prefix(_bytes_table(seed)[raw], seed)
+    return _sums(_bytes_table(seed)[raw])
 
 
 def words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import regex
@@ -20,7 +20,7 @@ from .text import between, mix, prefix
 #: The only way to split words that is known here (fixed value).
 SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words kept between batches.
-KEEP = 400_000
+KEEP = 200_000
 #: Stands for the end of a word; no UTF-8 text holds this byte.
 END = b"\xff"
 
@@ -28,9 +28,8 @@ END = b"\xff"
 class WordPieces:
     def __init__(self, path: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         byte_of = {c: b for b, c in _printable().items()}
@@ -49,6 +48,13 @@ class WordPieces:
         self.kept: dict[str, int] = {}
         self._clear()
 
+    @cached_property
+    def slow(self):
+        """The library's own tokenizer, loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _clear(self) -> None:
         self.kept.clear()
         self.flat = np.zeros(1 << 16, np.uint32)

@@ -169,6 +169,16 @@ def test_near_copies_keep_one(docs):
     assert len(kept) == len(set(label)) + sum(not (r[1] or "").split() for r in ROWS)
 
 
+def test_near_copies_around_a_shared_passage(spark):
+    """Each text is alike to 0.8 with one other and to 0.71 with all others."""
+    from weft.llm.near_copies import without_copies
+
+    passage = " ".join(f"p{k}" for k in range(79))
+    texts = [" ".join([passage, *(f"s{g}x{k}" for k in range(5)), *(f"o{g}y{side}z{k}" for k in range(10))]) for g in range(150) for side in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in without_copies(docs).select("doc_id").collect()) == list(range(0, 300, 2))
+
+
 def test_decontamination(spark, docs):
     from weft.llm.decontaminate import contaminated, digest, without_hits
 

@@ -6,19 +6,26 @@ sketches, each the SimHash of a few shingles that a permutation puts first: two
 share such a sample with the probability of their similarity to the power of its
 size, and the fingerprints of shared samples are within a small radius.  The tree
 join of ``simhash.links`` finds them; the similarity of whole shingle sets decides.
+
+Sketches miss some pairs, and only a few texts of a group are compared with all others.
+So a second, exact path joins what the sketches left apart: with all shingles in one
+order, two texts alike to ``least`` share one of the first ``1 - least`` of their shingles
+and stand far enough in front of their ends there.  All pairs in two components that meet
+so are decided; the order, rare shingles first, only makes them few.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import components
-from .shared import table
+from .shared import drop_table, table
 from .simhash import U, fingerprint, links, shingle_hashes
 from .text import mix, slices, strings
 
@@ -26,14 +33,52 @@ from .text import mix, slices, strings
 SKETCHES, SAMPLE = 12, 4
 #: How often what differs from a group's centre is grouped around another one.
 ROUNDS = 4
+#: Distinct texts whose shingles are counted, and how many of the most frequent ones come last in the order of all.
+COUNTED, KNOWN = 20_000, 1 << 18
+#: Parts of the shingles that are joined one after another, for less disk at a time.
+PARTS = 4
+
+
+def _frequent(docs: DataFrame, width: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and counts of the shingles most frequent in a sample of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [np.unique(np.array(shingle_hashes(t, width), dtype=U)).view(np.int64) for t in strings(batch.column("text"))]
+            yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], names=["hash"])
+
+    texts = docs.select(F.col(text).alias("text")).where("text is not null")
+    share = math.ceil((1 << 20) * COUNTED / max(COUNTED, texts.count()))
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share).distinct()
+    known = some.mapInArrow(run, "hash bigint").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "hash").limit(KNOWN).toArrow()
+    hashes = known.column("hash").to_numpy().view(U)
+    order = np.argsort(hashes)
+    return hashes[order], known.column("n").to_numpy()[order]
+
+
+def _front(hashes: np.ndarray, known: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The first of ``hashes`` in the order of all: a set alike to ``least`` has one of them among its own first.
+
+    Cut to 32 bits, since what meets by chance is decided like the rest.
+    """
+    mixed, often = mix(hashes), np.zeros(len(hashes), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        often = np.where(known[at] == hashes, counts[at], 0)
+    first = np.lexsort((mixed, often))[: len(hashes) - math.ceil(least * len(hashes) - 1e-6) + 1]
+    return (mixed[first] >> U(32)).astype(np.uint32).view(np.int32)
+
 
+def _sketches(docs: DataFrame, width: int, least: float, text: str, key: str) -> DataFrame:
+    """(key, source, print, sketches, size, front): source and print are digests of the text and of its words in order.
 
-def _sketches(docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
-    """(key, source, print, sketches): source and print are digests of the text and of its words in order."""
+    size is that of the set of shingles; front is of ``_front``.
+    """
+    known, counts = _frequent(docs, width, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            source, prints, sketches = [], [], []
+            source, prints, sketches, sizes, fronts = [], [], [], [], []
             for t in strings(batch.column("text")):
                 hashes = np.unique(np.array(shingle_hashes(t, width), dtype=U))
                 source.append(hashlib.sha256(t).digest())
@@ -44,11 +89,14 @@ def _sketches(docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
                     few = hashes if len(hashes) <= SAMPLE else hashes[np.argpartition(order, SAMPLE)[:SAMPLE]]
                     own.append(fingerprint(few))
                 sketches.append(own)
-            yield pa.record_batch([batch.column("key"), pa.array(source, pa.binary()), pa.array(prints, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], names=["key", "source", "print", "sketches"])
+                sizes.append(len(hashes))
+                fronts.append(_front(hashes, known, counts, least) if len(hashes) else [])
+            columns = [pa.array(source, pa.binary()), pa.array(prints, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(fronts, pa.list_(pa.int32()))]
+            yield pa.record_batch([batch.column("key"), *columns], names=["key", "source", "print", "sketches", "size", "front"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, source binary, print binary, sketches array<bigint>")
+    return rows.mapInArrow(run, f"key {kind}, source binary, print binary, sketches array<bigint>, size int, front array<int>")
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -62,11 +110,20 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "node bigint, shingles array<bigint>")
 
 
+def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of (a, b) whose shingle sets are alike."""
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("s"))
+    return both.where(F.col("c") >= least * (F.col("s") - F.col("c")) - 1e-9).select("a", "b")
+
+
 def _similar(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """(a, b) bigint: pairs of a group's centre and a member whose shingle sets are alike.
 
     The centre is the text with most company over all its groups; members that differ
-    from it go on to the next round without it.
+    from it go on to the next round without it.  What this leaves apart, ``_apart`` finds.
     """
     found = None
     for _ in range(ROUNDS):
@@ -79,17 +136,40 @@ def _similar(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         if joined.isEmpty():
             break
         pairs = joined.select("node", "centre").distinct()
-        left = sets.select("node", F.col("shingles").alias("x"))
-        right = sets.select(F.col("node").alias("centre"), F.col("shingles").alias("y"))
-        common = F.size(F.array_intersect("x", "y"))
-        alike = pairs.join(left, "node").join(right, "centre").select("node", "centre", common.alias("c"), (F.size("x") + F.size("y")).alias("s")).where(F.col("c") >= least * (F.col("s") - F.col("c")) - 1e-9)
-        alike = table(alike.select("node", "centre"), "alike")
+        alike = table(_alike(pairs.toDF("a", "b"), sets, least).toDF("node", "centre"), "alike")
         edges = alike.select(F.col("node").alias("a"), F.col("centre").alias("b"))
         found = edges if found is None else found.union(edges)
         members = joined.join(alike, ["node", "centre"], "left_anti").select("group", "node")
     return found if found is not None else members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
 
 
+def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b, root) of the pairs (a, b) in two components; root is that of b."""
+    for side in "ab":
+        pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
+    pairs = pairs.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("root"))
+    return pairs.where("ra <> root").select("a", "b", "root")
+
+
+def _apart(texts: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """(a, b): every pair of texts in two components that can be alike, by the shingles that come first."""
+    rooted = table(texts.select("node", "size", "front").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    found = None
+    for part in range(PARTS):
+        rows = rooted.select("node", "root", "size", F.posexplode("front").alias("at", "hash")).where(F.pmod("hash", F.lit(PARTS)) == part)
+        shared = rows.groupBy("hash").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("hash")
+        rows = table(rows.join(shared, "hash").select("hash", "node", "root", "size", (F.col("size") - F.col("at")).alias("rest")), "shared")
+        a, b = (rows.toDF("hash", side, f"r{side}", f"s{side}", f"e{side}") for side in "ab")
+        enough = F.least("ea", "eb") * (1 + least) >= least * (F.col("sa") + F.col("sb")) - 1e-6
+        meet = a.join(b, "hash").where((F.col("ra") != F.col("rb")) & (F.struct("sa", "a") > F.struct("sb", "b")) & enough)
+        pairs = table(meet.select("a", "b").distinct(), "pairs")
+        drop_table(rows)
+        found = pairs if found is None else found.union(pairs)
+    found = table(found.distinct(), "apart")
+    drop_table(rooted)
+    return found
+
+
 def without_copies(docs: DataFrame, width: int = 5, least: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with one row, that of the smallest key, of each group of exact and near copies.
 
@@ -98,8 +178,8 @@ def without_copies(docs: DataFrame, width: int = 5, least: float = 0.8, text: st
     chains of alike texts connect.  Null texts and texts without words all stay.
     Of repeated rows one stays.
     """
-    rows = table(_sketches(docs, width, text, key), "sketches").where(F.size("sketches") > 0)
-    texts = table(rows.groupBy("print").agg(F.min(F.struct("key", "source")).alias("rep"), F.first("sketches").alias("sketches")).select("print", F.col("rep.key").alias("low"), F.col("rep.source").alias("source"), "sketches").withColumn("node", F.monotonically_increasing_id()), "texts")
+    rows = table(_sketches(docs, width, least, text, key), "sketches").where(F.size("sketches") > 0)
+    texts = table(rows.groupBy("print").agg(F.min(F.struct("key", "source")).alias("rep"), *[F.first(c).alias(c) for c in ("sketches", "size", "front")]).select("print", F.col("rep.key").alias("low"), F.col("rep.source").alias("source"), "sketches", "size", "front").withColumn("node", F.monotonically_increasing_id()), "texts")
     each = table(texts.select("node", F.explode("sketches").alias("fp")).distinct(), "sketches")
     roots = table(components(links(each.select("fp").distinct(), 2)), "roots")
     grouped = each.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("group"), "node").distinct()
@@ -107,11 +187,27 @@ def without_copies(docs: DataFrame, width: int = 5, least: float = 0.8, text: st
     several = crowd.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
     members = table(crowd.join(several, "group"), "members")
     # only texts with company are read again, for the sets that decide
-    wanted = texts.select("node", "low", "source").join(members.select("node").distinct(), "node")
     whole_texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null").withColumn("__source", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    company = whole_texts.join(wanted, (F.col("__source") == F.col("source")) & F.col("key").eqNullSafe(F.col("low"))).select("node", "text")
-    sets = table(_sets(company, width), "sets")
-    whole = table(components(_similar(members, sets, least)), "roots")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted = texts.select("node", "low", "source").join(nodes.distinct(), "node")
+        company = whole_texts.join(wanted, (F.col("__source") == F.col("source")) & F.col("key").eqNullSafe(F.col("low"))).select("node", "text")
+        return table(_sets(company, width), "sets")
+
+    sets = sets_of(members.select("node"))
+    edges = table(_similar(members, sets, least), "alike")
+    whole = table(components(edges), "roots")
+    drop_table(sets)
+    apart = _apart(texts, whole, least)
+    if not apart.isEmpty():
+        sets = sets_of(apart.select(F.explode(F.array("a", "b")).alias("node")))
+        # a text and a component first by one pair, then by all pairs, where that pair doesn't join them
+        first = F.row_number().over(Window.partitionBy("a", "root").orderBy("b")) == 1
+        for chosen in (first, F.lit(True)):
+            pairs = _rooted(apart, whole).withColumn("chosen", chosen).where("chosen").select("a", "b")
+            edges = table(edges.union(_alike(pairs, sets, least)), "alike")
+            whole = table(components(edges), "roots")
+        drop_table(sets)
     named = texts.select("node", "print", "low").join(whole, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = named.groupBy("root").agg(F.min(F.struct("low", "print")).alias("best")).select("best.*")
     # of the rows of the text that stays, the one with the smallest key (and of equal rows one)

@@ -179,6 +179,18 @@ def test_near_copies_around_a_shared_passage(spark):
     assert sorted(r.doc_id for r in without_copies(docs).select("doc_id").collect()) == list(range(0, 300, 2))
 
 
+def test_near_copies_in_chains_from_one_centre(spark):
+    """Many texts are like the first one; each has another one that is like it and not like the first."""
+    from weft.llm.near_copies import without_copies
+
+    base, texts = [f"a{k}" for k in range(104)], []
+    for g in range(120):
+        own, other = ([f"{c}{g}w{k}" for k in range(11)] for c in "bc")
+        texts += [base[:93] + own, other + base[11:93] + own]
+    docs = spark.createDataFrame(list(enumerate(map(" ".join, [base, *texts]))), "doc_id bigint, text string")
+    assert [r.doc_id for r in without_copies(docs).select("doc_id").collect()] == [0]
+
+
 def test_decontamination(spark, docs):
     from weft.llm.decontaminate import contaminated, digest, without_hits
 

@@ -191,6 +191,15 @@ def test_near_copies_in_chains_from_one_centre(spark):
     assert [r.doc_id for r in without_copies(docs).select("doc_id").collect()] == [0]
 
 
+def test_near_copies_of_short_texts(spark):
+    """Four shingles and the same with a fifth."""
+    from weft.llm.near_copies import without_copies
+
+    texts = [" ".join(f"t{g}w{k}" for k in range(n)) for g in range(300) for n in (8, 9)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in without_copies(docs).select("doc_id").collect()) == list(range(0, 600, 2))
+
+
 def test_decontamination(spark, docs):
     from weft.llm.decontaminate import contaminated, digest, without_hits
 

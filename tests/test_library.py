@@ -148,3 +148,29 @@ def test_media_headers(spark):
     assert (got[0].a.rate, got[0].a.frames, got[0].s) == (8000, 4, [1, -2, 3, 4])
     assert (got[1].i.width, got[1].i.height, got[1].i.format) == (7, 5, "PNG")
     assert got[2].s is None and got[3].i.width is None
+
+
+def test_whole_components_and_missing_keys(spark):
+    """The registered queries on all rows of the smallest tables, against brute force."""
+    from collections import Counter, defaultdict
+
+    from weft.plans import registry
+
+    folder, queries = "/root/testdata/sf0.001", registry.queries()
+    root = {}
+
+    def find(v):
+        while root.setdefault(v, v) != v:
+            v = root[v]
+        return v
+
+    for (k,) in spark.read.parquet(f"{folder}/customer.parquet").select("c_custkey").collect():
+        p, q = find(k), find(k * 7)
+        root[max(p, q)] = min(p, q)
+    got = queries["learn_connected_components_whole"](spark, folder).collect()
+    assert sorted(map(tuple, got)) == sorted((v, find(v)) for v in root if find(v) != v)
+    parts = defaultdict(list)
+    for k, size in spark.read.parquet(f"{folder}/part.parquet").select("p_partkey", "p_size").collect():
+        parts[size % 50 or None].append(k)
+    want = Counter((x, y) for keys in parts.values() for x in keys for y in keys)
+    assert Counter(map(tuple, queries["merge_missing_keys_whole"](spark, folder).select("x", "y").collect())) == want

@@ -9,14 +9,15 @@ searches all windows backwards.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .text import ALNUM, LOWER, buffer, covered, runs, slices, words
+from .text import ALNUM, LOWER, buffer, covered, numbered, runs, same_spans, slices, span_hashes, spans, words
 
-#: Most bytes of benchmark text that one pass takes to the tasks; more text takes more passes.
+#: Most bytes of benchmark text that the driver holds and one pass takes to the tasks; more text takes more passes.
 BLOCK = 16 << 20
 
 
@@ -109,9 +110,17 @@ class Phrases:
     def __init__(self, items: list[tuple[str, str]], width: int) -> None:
         column = pa.array([t for _, t in items], pa.string())
         raw, offsets = buffer(column)
-        _, _, first, hashes = words(LOWER[raw], offsets, ALNUM)
-        self.vocabulary, self.numbers = np.unique(hashes, return_inverse=True)
-        self.numbers = self.numbers + 1
+        self.raw = LOWER[raw]
+        starts, ends, first, hashes = words(self.raw, offsets, ALNUM)
+        example, number = numbered(self.raw, starts, ends, hashes)
+        # a seed that tells all distinct words apart
+        for self.seed in count(1):
+            own = span_hashes(self.raw, starts[example], ends[example], self.seed)
+            if len(np.unique(own)) == len(own):
+                break
+        order = np.argsort(own)
+        self.vocabulary, self.at, self.size = own[order], starts[example][order], (ends - starts)[example][order]
+        self.numbers = np.argsort(order)[number] + 1
         self.names = [n for n, _ in items]
         counts = np.diff(first)
         self.groups: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
@@ -130,13 +139,17 @@ class Phrases:
 
 def _shard(raw: np.ndarray, offsets: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[set[int]]]:
     """Word starts and ends, first word of each text, mask of hit words, items of each text."""
-    starts, ends, first, hashes = words(LOWER[raw], offsets, ALNUM)
+    low = LOWER[raw]
+    starts, ends, first = spans(low, offsets, ALNUM)
     hit = np.zeros(len(starts), dtype=bool)
     items: list[set[int]] = [set() for _ in range(len(offsets) - 1)]
     if not phrases.groups or not len(starts):
         return starts, ends, first, hit, items
+    hashes = span_hashes(low, starts, ends, phrases.seed)
     at = np.minimum(np.searchsorted(phrases.vocabulary, hashes), len(phrases.vocabulary) - 1)
-    known = phrases.vocabulary[at] == hashes
+    known = (phrases.vocabulary[at] == hashes) & (phrases.size[at] == ends - starts)
+    maybe = np.flatnonzero(known)
+    known[maybe] = same_spans(low, starts[maybe], phrases.raw, phrases.at[at[maybe]], phrases.size[at[maybe]])
     begin, end = runs(known, first)
     long = end - begin >= phrases.least
     begin, end = begin[long], end[long]
@@ -168,6 +181,19 @@ def _shard(raw: np.ndarray, offsets: np.ndarray, phrases: Phrases) -> tuple[np.n
     return starts, ends, first, hit, items
 
 
+def _blocks(items: DataFrame) -> Iterator[list[tuple[str, str]]]:
+    """Items in lists of about ``BLOCK`` bytes of text, one list at a time, at least one."""
+    block: list[tuple[str, str]] = []
+    held = 0
+    for r in items.toLocalIterator():
+        block.append((r.name, r.text))
+        held += len(r.text.encode())
+        if held >= BLOCK:
+            yield block
+            block, held = [], 0
+    yield block
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: str = "text", key: str = "doc_id", clean: bool = False) -> DataFrame:
     """Where windows of benchmark items occur in texts.
 
@@ -181,19 +207,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: s
     further passes over the same rows.
     """
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("name"), "text")
-    blocks: list[list[tuple[str, str]]] = [[]]
-    held = 0
-    for r in items.toLocalIterator():
-        if held > BLOCK:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((r.name, r.text))
-        held += len(r.text.encode())
+    context = docs.sparkSession.sparkContext
+    shipped_blocks = [context.broadcast(Phrases(block, width)) for block in _blocks(items)]
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("mask", F.lit(None).cast("binary")).withColumn("item_ids", F.array().cast("array<string>"))
     kind = rows.schema["key"].dataType.simpleString()
-    for k, block in enumerate(blocks):
-        final = k == len(blocks) - 1
-        shipped = docs.sparkSession.sparkContext.broadcast(Phrases(block, width))
+    for k, shipped in enumerate(shipped_blocks):
+        final = k == len(shipped_blocks) - 1
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped, final=final) -> Iterator[pa.RecordBatch]:
             phrases = shipped.value

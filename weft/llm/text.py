@@ -1,8 +1,9 @@
-"""Vectorised work on UTF-8 text: Arrow buffers, words, rolling hashes.
+"""Vectorised work on UTF-8 text: Arrow buffers, words, hashes, comparison of spans.
 
-A hash of a word or of a window comes from prefix sums of a polynomial modulo
-2**64, finished by a mixing function, so one pass over the bytes gives the hash of
-any span.  Two seeds together give 128 bits.
+A word's hash takes its bytes eight at a time through a mixing function.  A window's
+hash comes from prefix sums of a polynomial modulo 2**64, so one pass gives that of
+every window; chosen texts can make such hashes meet (long words that differ by a
+Thue-Morse pattern do so for every base), so they only propose what may be equal.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE = 1 << 20
 U = np.uint64
@@ -143,17 +145,66 @@ def byte_sums(raw: np.ndarray, seed: int) -> np.ndarray:
     return _sums(_bytes_table(seed)[raw])
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends, first word of each text (n + 1) and a hash of each word."""
-    starts, ends, first = spans(raw, offsets, inside)
-    return starts, ends, first, between(byte_sums(raw, seed), starts, ends, seed)
+#: Spans of more bytes are hashed and compared one by one.
+LONG = 1 << 10
+#: Keeps the first so many bytes of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U)
+
+
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number; beyond the end stand zeros."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray((len(raw) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
+    """A hash of the bytes of each span."""
+    size = ends - starts
+    out = mix(size.astype(U) * U(_odd(seed + 400)) + U(seed))
+    eights = _eights(raw)
+    todo = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left = starts[todo], size[todo]
+    while len(todo):
+        out[todo] = mix(out[todo] ^ (eights[at] & _FIRST[np.minimum(left, 8)]))
+        more = left > 8
+        todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]].data, seed)
+    return out
 
 
-def rolling(values: np.ndarray, first: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of every window of ``width`` values that stays within a text."""
-    starts = window_starts(first, width)
-    sums = prefix(values, seed)
-    return starts, between(sums, starts, starts + width, seed)
+def same_spans(raw: np.ndarray, starts: np.ndarray, other: np.ndarray, places: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes of ``raw`` from each start are those of ``other`` from each place."""
+    out = np.ones(len(size), dtype=bool)
+    one, two = _eights(raw), _eights(other)
+    todo = np.flatnonzero((size > 0) & (size <= LONG))
+    a, b, left = starts[todo], places[todo], size[todo]
+    while len(todo):
+        same = (one[a] ^ two[b]) & _FIRST[np.minimum(left, 8)] == 0
+        out[todo[~same]] = False
+        more = same & (left > 8)
+        todo, a, b, left = todo[more], a[more] + 8, b[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = np.array_equal(raw[starts[i] : starts[i] + size[i]], other[places[i] : places[i] + size[i]])
+    return out
+
+
+def numbered(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An example of each distinct span and the number of each span's; hashes only propose, bytes decide."""
+    _, example, which = np.unique(hashes, return_index=True, return_inverse=True)
+    size = ends - starts
+    of = example[which]
+    if not ((size == size[of]) & same_spans(raw, starts, raw, starts[of], size)).all():
+        known: dict[bytes, int] = {}
+        which = np.array([known.setdefault(raw[a:b].tobytes(), len(known)) for a, b in zip(starts.tolist(), ends.tolist())], np.int64)
+        example = np.unique(which, return_index=True)[1]
+    return example, which
+
+
+def words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends, first word of each text (n + 1) and a hash of each word."""
+    starts, ends, first = spans(raw, offsets, inside)
+    return starts, ends, first, span_hashes(raw, starts, ends)
 
 
 def window_starts(first: np.ndarray, width: int) -> np.ndarray:

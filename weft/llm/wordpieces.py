@@ -1,8 +1,8 @@
 """Token ids of a word-level BPE file of the ``tokenizers`` library, a batch at a time.
 
 The file's normaliser and splitter leave words that are encoded independently of
-each other, so each distinct word is encoded once and kept in a bounded table.  Within a batch, words are told apart by 64-bit
-hashes.  A word's own encoding comes from ``tiktoken`` with the same merges; a text that holds
+each other, so each distinct word is encoded once and kept in a bounded table.  Within a batch, hashes propose which words
+are equal and their characters decide.  A word's own encoding comes from ``tiktoken`` with the same merges; a text that holds
 a special token's string goes to ``tokenizers`` as it is.
 """
 
@@ -15,7 +15,7 @@ from functools import cached_property, lru_cache
 import numpy as np
 import regex
 
-from .text import between, mix, prefix
+from .text import numbered, span_hashes
 
 #: The only way to split words that is known here (fixed value).
 SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -73,8 +73,8 @@ class WordPieces:
         self.kept[word] = len(self.begin) - 1
         return len(self.begin) - 1
 
-    def _cut(self, text: str, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, ends and hashes of the words of lower-cased texts that stand one after the other."""
+    def _cut(self, text: str, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the words of lower-cased texts that stand one after the other, an example of each distinct word, and each word's number."""
         chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         kind = _kinds()[chars]
         inner = offsets[(offsets > 0) & (offsets < len(chars))]
@@ -99,7 +99,8 @@ class WordPieces:
             rest = quote + length + 1
             begin[rest[(rest < stop) & (kind[np.minimum(rest, len(kind) - 1)] == LETTER)]] = True
         starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-        return starts, ends, between(prefix(mix(chars.astype(np.uint64) + np.uint64(1)), 5), starts, ends, 5)
+        raw = chars.view(np.uint8)
+        return starts, ends, *numbered(raw, 4 * starts, 4 * ends, span_hashes(raw, 4 * starts, 4 * ends))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -111,8 +112,7 @@ class WordPieces:
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in plain])]).astype(np.int64)
         if not whole:
             return [slow.get(i, np.zeros(0, np.uint32)) for i in range(len(texts))]
-        starts, ends, hashes = self._cut(whole, offsets)
-        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        starts, ends, first, which = self._cut(whole, offsets)
         kept, learn = self.kept, self._learn
         distinct = np.array([n if (n := kept.get(w := whole[a:b])) is not None else learn(w) for a, b in zip(starts[first].tolist(), ends[first].tolist())], np.int64)
         numbers = distinct[which]

@@ -56,7 +56,16 @@ def windows_twice(units, width):
         yield u, hit
 
 
-def test_suffix_repeats(docs):
+def thue_morse(n):
+    """Two strings whose polynomial hashes modulo 2**64 are equal for every base."""
+    x = "ab"
+    while len(x) < n:
+        x += x.translate({97: "b", 98: "a"})
+    return x, x.translate({97: "b", 98: "a"})
+
+
+def test_suffix_repeats(spark, docs, monkeypatch):
+    from weft.llm import repeats
     from weft.llm.suffix_array import digest, suffix_repeats
 
     want = []
@@ -65,6 +74,13 @@ def test_suffix_repeats(docs):
         runs = int((np.diff(np.concatenate([[0], hit.astype(int)])) == 1).sum())
         want.append((r[0], len(u), int(hit.sum()), runs, hashlib.sha256(kept).hexdigest()))
     assert bag(digest(suffix_repeats(docs)).collect()) == bag(want)
+    for crowded in (1 << 12, 64):  # some or all hashes are split, once or twice
+        monkeypatch.setattr(repeats, "SHARD", crowded)
+        assert bag(digest(suffix_repeats(docs)).collect()) == bag(want)
+    x, y = thue_morse(4096)
+    apart = spark.createDataFrame([(1, x[:1024] + "-"), (2, y[:1024] + "+")], "doc_id bigint, text string")
+    by = {r[0]: r[1:] for r in zip((1, 2), *zip(*[(int(h.sum()),) for _, h in windows_twice([r.text.encode() for r in apart.collect()], 200)]))}
+    assert {r.doc_id: (r.n_removed,) for r in digest(suffix_repeats(apart)).collect()} == by
 
 
 def test_suffix_array_by_brute_force():
@@ -73,10 +89,10 @@ def test_suffix_array_by_brute_force():
     raw = np.frombuffer(b"abracadabra" * 9 + b"banana" * 7 + bytes(RNG.integers(97, 99, 400).astype(np.uint8)), np.uint8)
     for width in (6, 13, 40):
         position, pointer = refine(raw, width)
-        pad = raw.tobytes() + bytes(width + 8)
         by = defaultdict(list)
-        for k in range(len(raw)):
-            by[pad[k : k + width]].append(k)
+        for k in range(len(raw) - width + 1):
+            by[raw[k : k + width].tobytes()].append(k)
+        assert position.tolist() == sorted(position.tolist(), key=lambda p: (raw[p : p + width].tobytes(), position.tolist().index(p)))
         want = sorted(v for v in by.values() if len(v) > 1)
         got = defaultdict(list)
         for p, q in zip(position.tolist(), pointer.tolist()):
@@ -84,7 +100,7 @@ def test_suffix_array_by_brute_force():
         assert sorted(sorted(v) for v in got.values()) == want
 
 
-def test_block_repeats(docs, monkeypatch):
+def test_block_repeats(spark, docs, monkeypatch):
     from weft.llm import repeats
     from weft.llm.block_anchors import block_repeats, digest
 
@@ -92,8 +108,51 @@ def test_block_repeats(docs, monkeypatch):
     for r, (u, hit) in zip(ROWS, windows_twice([(r[1] or "").encode().split() for r in ROWS], 35)):
         want.append((r[0], len(u), int(hit.sum()), hashlib.sha256(b" ".join(w for w, h in zip(u, hit) if not h)).hexdigest()))
     assert bag(digest(block_repeats(docs)).collect()) == bag(want)
-    monkeypatch.setattr(repeats, "SHARD", 64)  # every hash is settled by digests of windows
-    assert bag(digest(block_repeats(docs)).collect()) == bag(want)
+    for crowded in (1 << 12, 64):
+        monkeypatch.setattr(repeats, "SHARD", crowded)
+        assert bag(digest(block_repeats(docs)).collect()) == bag(want)
+    x, y = thue_morse(4096)
+    common = " ".join(f"w{k}" for k in range(34))
+    apart = spark.createDataFrame([(1, f"{common} {x}"), (2, f"{common} {y}")], "doc_id bigint, text string")
+    assert [r.n_removed for r in digest(block_repeats(apart)).collect()] == [0, 0]
+
+
+def test_anchors_by_brute_force(monkeypatch):
+    from weft.llm import block_anchors
+    from weft.llm.repeats import Words
+
+    texts = [" ".join(RNG.choice(["a", "b", "cc"], int(n))) for n in RNG.integers(7, 60, 30)] + ["a " * 50, "a b " * 40]
+    sizes = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    units = Words(np.frombuffer("".join(texts).encode(), np.uint8), sizes)
+    for chance in (False, True):
+        if chance:  # every block hash is the same
+            monkeypatch.setattr(block_anchors, "between", lambda sums, starts, ends, seed: np.zeros(len(starts), np.uint64))
+        for width in (5, 6, 7):
+            got = block_anchors.repeated(units, np.diff(units.first) - width + 1, width)
+            seen = Counter(tuple(w[k : k + width]) for t in texts for w in [t.split()] for k in range(len(w) - width + 1))
+            want = [seen[tuple(w[k : k + width])] > 1 for t in texts for w in [t.split()] for k in range(len(w))]
+            assert got.tolist() == want
+
+
+def test_words_that_hashes_confuse(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    from weft.llm import text, wordpieces
+    from weft.llm.decontaminate import contaminated, digest
+
+    x, y = thue_morse(4096)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    slow = Tokenizer.from_file(path)
+    docs = spark.createDataFrame([(1, y), (2, x)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([("i", x)], "item_id string, text string")
+    assert {r.doc_id: r.n_hit for r in digest(contaminated(docs, bench)).collect()} == {1: 0, 2: 1}
+    for _ in range(2):
+        assert wordpieces.WordPieces(path).encode([f"{x} {y}", "ab ba ab"])[0].tolist() == slow.encode(f"{x} {y}", add_special_tokens=False).ids
+        monkeypatch.setattr(wordpieces, "span_hashes", lambda raw, starts, ends: np.zeros(len(starts), np.uint64))
+    raw = np.frombuffer(b"one two one onetwo ", np.uint8)
+    starts, ends, _ = text.spans(raw, np.array([0, len(raw)]), ~text.SPACE)
+    example, which = text.numbered(raw, starts, ends, np.zeros(4, np.uint64))
+    assert which.tolist() == [0, 1, 0, 2] and example.tolist() == [0, 1, 3]
 
 
 def test_text_without_repeats(docs):

@@ -4,6 +4,10 @@ Equal windows have equal least gram hashes, so the windows of a text are cut int
 runs of one least hash, and only runs whose hash another run shares (or which may
 repeat within themselves) go on.  Each distinct stretch of text under such a run is
 dealt to a shard by its hash; what happens in a shard is the operator's own method.
+
+A hash with more text than a shard should hold is split further, again so that equal
+windows stay together: by how far into the window its first least gram stands, and by
+what all windows with so similar a distance have in common.
 """
 
 from __future__ import annotations
@@ -13,13 +17,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import drop_table, table
 from .text import SPACE, U, between, buffer, byte_sums, prefix, runs as mask_runs, slices, window_starts, words
 
-#: Bytes of text that a shard aims at; a hash with more is settled by digests of windows.
+#: Most bytes of distinct stretches under one key that go to a shard together; shards aim at a quarter.
 SHARD = 1 << 20
+#: A crowded hash is split by distances in so many parts; what is still crowded, by single windows.
+SPLITS = 16
 
 
 class Bytes:
@@ -42,14 +49,16 @@ class Bytes:
 
 
 class Words:
-    """Texts as words between white space."""
+    """Texts as words between white space; ``raw`` has one space after each."""
 
     gram = 18
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray) -> None:
-        self.raw = raw
-        self.starts, self.ends, self.first, self.hashes = words(raw, offsets, ~SPACE)
-        self.whole = raw.tobytes()
+        inside = ~SPACE[raw]
+        keep = inside.copy()
+        keep[1:] |= inside[:-1]
+        self.raw = np.where(inside, raw, 32).astype(np.uint8)[keep]
+        self.starts, self.ends, self.first, self.hashes = words(self.raw, np.concatenate([[0], np.cumsum(keep)])[offsets], ~SPACE)
 
     def sums(self, seed: int) -> np.ndarray:
         return prefix(self.hashes, seed)
@@ -60,11 +69,13 @@ class Words:
     def content(self, i: int, keep: np.ndarray | None = None) -> bytes:
         own = slice(self.first[i], self.first[i + 1])
         a, b = self.starts[own], self.ends[own]
-        if keep is not None:
-            a, b = a[keep], b[keep]
-        elif len(a):
-            return b" ".join(self.whole[a[0] : b[-1]].split())
-        return b" ".join([self.whole[x:y] for x, y in zip(a.tolist(), b.tolist())])
+        if not len(a):
+            return b""
+        whole = self.raw[a[0] : b[-1]].tobytes()
+        if keep is None:
+            return whole
+        begin, end = mask_runs(keep, np.zeros(0, np.int64))
+        return b" ".join([whole[x:y] for x, y in zip((a[begin] - a[0]).tolist(), (b[end - 1] - a[0]).tolist())])
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -149,45 +160,109 @@ def _extract(found: DataFrame, unit: type, width: int) -> DataFrame:
             of = np.repeat(np.arange(len(sizes)), sizes)[keep]
             value, begin, count = (p[keep] for p in parts[:3])
             at = begin + offsets[of]
-            ends = at + count + width - 1
-            digests = [between(units.sums(s), at, ends, s).view(np.int64) for s in (2, 3)]
+            digests = pa.array(_digests(units, at, at + count + width - 1), pa.binary())
             cut = pa.array(np.searchsorted(of, np.arange(len(sizes) + 1)), pa.int32())
-            lists = [pa.ListArray.from_arrays(cut, pa.array(c)) for c in (value, begin, count, *digests)]
-            yield pa.record_batch([batch.column("sha"), batch.column("text"), *lists], names=["sha", "text", "value", "begin", "count", "d1", "d2"])
+            lists = [pa.ListArray.from_arrays(cut, c) for c in (pa.array(value), pa.array(begin), pa.array(count), digests)]
+            yield pa.record_batch([batch.column("sha"), batch.column("text"), *lists], names=["sha", "text", "value", "begin", "count", "digest"])
+
+    return found.mapInArrow(run, "sha binary, text string, value array<bigint>, begin array<bigint>, count array<bigint>, digest array<binary>")
+
 
-    return found.mapInArrow(run, "sha binary, text string, value array<bigint>, begin array<bigint>, count array<bigint>, d1 array<bigint>, d2 array<bigint>")
+def _digests(units, begin: np.ndarray, end: np.ndarray) -> list[bytes]:
+    """128 bits of the bytes of each span of units."""
+    whole = memoryview(np.ascontiguousarray(units.raw))
+    digest = xxhash.xxh3_128_digest
+    return [digest(whole[a:b]) for a, b in zip(*(x.tolist() for x in units.bytes_of(begin, end)))]
 
 
 def _stretches(texts: DataFrame, unit: type, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            raw, offsets = buffer(batch.column("text"))
-            units = unit(raw, offsets)
-            offsets = units.first
+            units = unit(*buffer(batch.column("text")))
             sizes = np.array([len(x) for x in batch.column("value")], np.int64)
-            value, begin, count, d1, d2 = (np.asarray(batch.column(c).flatten()) for c in ("value", "begin", "count", "d1", "d2"))
-            at = begin + np.repeat(offsets[:-1], sizes)
-            whole = raw.tobytes()
-            a, b = units.bytes_of(at, at + count + width - 1)
-            parts = [whole[x:y] for x, y in zip(a.tolist(), b.tolist())]
-            yield pa.record_batch([value, d1, d2, count, pa.array(parts, pa.binary())], names=["value", "d1", "d2", "count", "part"])
+            value, begin, count = (np.asarray(batch.column(c).flatten()) for c in ("value", "begin", "count"))
+            at = begin + np.repeat(units.first[:-1], sizes)
+            yield pa.record_batch([value, batch.column("digest").flatten(), count, pa.array(_parts(units, at, at + count + width - 1), pa.binary())], names=["value", "digest", "count", "part"])
+
+    return texts.mapInArrow(run, "value bigint, digest binary, count bigint, part binary")
 
-    return texts.mapInArrow(run, "value bigint, d1 bigint, d2 bigint, count bigint, part binary")
 
+def _parts(units, begin: np.ndarray, end: np.ndarray) -> list[bytes]:
+    whole = units.raw.tobytes()
+    return [whole[a:b] for a, b in zip(*(x.tolist() for x in units.bytes_of(begin, end)))]
 
-#: (first window, windows) pairs, one after the other, of the repeated windows of a stretch.
-MARKS = "d1 bigint, d2 bigint, marks array<int>"
 
+def _split(level: DataFrame, unit: type, width: int, step: int) -> DataFrame:
+    """Stretches cut where the distance of a window's first least gram leaves a range of ``step`` distances.
 
-def _settle(parts: DataFrame, unit: type, width: int, repeated: Callable) -> tuple[DataFrame, DataFrame]:
-    """MARKS of every distinct stretch that has repeated windows, and the table that they are made from."""
-    grouped = table(parts.groupBy("value", "d1", "d2").agg(F.count("*").alias("copies"), F.first("count").alias("count"), F.first("part").alias("part")), "stretches")
-    sizes = grouped.groupBy("value").agg(F.sum(F.length("part").cast("bigint")).alias("bytes"))
-    total = grouped.agg(F.sum(F.length("part").cast("bigint")).alias("n")).first()["n"] or 0
-    shards = max(1, total // SHARD * 2, min(256, total // (SHARD >> 6)))
-    hot = sizes.where(F.col("bytes") > SHARD).select("value", F.lit(True).alias("hot"))
-    split = table(grouped.join(hot, "value", "left"), "stretches")
-    drop_table(grouped)
+    (parent, key, value, digest, begins, count, part): begins are the first windows within the parent of all
+    equal pieces.  Windows that are equal have equal distances, so the same range, and in common all that
+    every window of that range holds: both make the key.  A piece has no two equal windows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "part", 1 << 18):
+            units = unit(*buffer(batch.column("part")))
+            offsets = units.first
+            gram = min(units.gram, width)
+            wide = width - gram + 1
+            at = np.arange(int(offsets[-1]) - gram + 1)
+            value = np.repeat(batch.column("value").to_numpy(), np.diff(offsets))
+            least = np.flatnonzero(between(units.sums(1), at, at + gram, 1).view(np.int64) == value[at])
+            start = window_starts(offsets, width)
+            where = least[np.searchsorted(least, start)]
+            part = (where - start) // step
+            new = np.ones(len(start), dtype=bool)
+            new[1:] = (where[1:] != where[:-1]) | (part[1:] != part[:-1]) | (start[1:] != start[:-1] + 1) | np.isin(start[1:], offsets)
+            first = np.flatnonzero(new)
+            begin, count, where, part = start[first], np.diff(np.append(first, len(start))), where[first], part[first]
+            low, high = part * step, np.minimum(part * step + step, wide) - 1
+            of = np.searchsorted(offsets, begin, "right") - 1
+            core = _digests(units, where - low, where - high + width)
+            digests = _digests(units, begin, begin + count + width - 1)
+            values = batch.column("value").to_numpy()[of]
+            seen: dict[tuple[int, bytes], list[int]] = {}
+            for i, place, digest in zip(of.tolist(), range(len(of)), digests):
+                seen.setdefault((i, digest), []).append(place)
+            one = np.array([p[0] for p in seen.values()], np.int64)
+            keys = [xxhash.xxh3_64_intdigest(core[p] + int(part[p]).to_bytes(4) + int(values[p]).to_bytes(8, signed=True)) for p in one.tolist()]
+            begins = [(begin[p] - offsets[of[p[0]]]).astype(np.int32) for p in seen.values()]
+            parts = _parts(units, begin[one], begin[one] + count[one] + width - 1)
+            yield pa.record_batch([batch.column("digest").take(pa.array(of[one])), np.array(keys, U).view(np.int64), values[one], pa.array([digests[p] for p in one.tolist()], pa.binary()), pa.array(begins, pa.list_(pa.int32())), count[one], pa.array(parts, pa.binary())], names=["parent", "key", "value", "digest", "begins", "count", "part"])
+
+    return level.select("digest", "value", "part").mapInArrow(run, "parent binary, key bigint, value bigint, digest binary, begins array<int>, count bigint, part binary")
+
+
+def _settle(parts: DataFrame, unit: type, width: int, repeated: Callable) -> tuple[DataFrame, list[DataFrame]]:
+    """(digest, marks) of every distinct stretch that has repeated windows, and the tables that it is made from.
+
+    marks are (first window, windows) pairs, one after the other.
+    """
+    made = [table(parts.groupBy("value", "digest").agg(F.count("*").alias("copies"), F.first("count").alias("count"), F.first("part").alias("part")).withColumn("key", F.col("value")), "stretches")]
+    wide = width - min(unit.gram, width) + 1
+    cold, several, links = [], [], []
+    for depth, step in enumerate((-(-wide // SPLITS), 1, 0)):
+        level = made[-1]
+        # with copies, a stretch as a whole is settled, yet others are compared with it
+        several.append(level.where("copies > 1").select(F.lit(depth).alias("depth"), "digest", F.array(F.lit(0), F.col("count").cast("int")).alias("marks")))
+        sizes = level.groupBy("key").agg(F.sum(F.length("part").cast("bigint")).alias("bytes"), F.count("*").alias("n"))
+        if depth:  # a piece repeats nothing within itself
+            sizes = sizes.where("n > 1")
+        keys = table(sizes.select("key", (F.col("bytes") > SHARD).alias("crowded")), "keys")
+        made.insert(0, keys)
+        crowded = step and not keys.where("crowded").isEmpty()
+        cold.append(level.join(keys.where("not crowded") if crowded else keys, "key", "left_semi").select(F.lit(depth).alias("depth"), "key", "digest", "part"))
+        if not crowded:
+            break
+        pieces = table(_split(level.join(keys.where("crowded"), "key", "left_semi"), unit, width, step), "pieces")
+        links.append(pieces.select("parent", "digest", "begins"))
+        made.insert(0, pieces)
+        made.append(table(pieces.groupBy("key", "value", "digest").agg(F.sum(F.size("begins")).alias("copies"), F.first("count").alias("count"), F.first("part").alias("part")), "stretches"))
+    every = cold[0]
+    for more in cold[1:]:
+        every = every.unionByName(more)
+    total = every.agg(F.sum(F.length("part").cast("bigint")).alias("n")).first()["n"] or 0
+    shards = 1 + 4 * total // SHARD
 
     def shard(group: pa.Table) -> pa.Table:
         units = unit(*buffer(group.column("part").combine_chunks()))
@@ -198,28 +273,20 @@ def _settle(parts: DataFrame, unit: type, width: int, repeated: Callable) -> tup
         flat = np.stack([begin - offsets[of], end - begin], axis=1).astype(np.int32).ravel()
         cut = pa.array(2 * np.searchsorted(of, np.arange(len(offsets))), pa.int32())
         marks = pa.ListArray.from_arrays(cut, pa.array(flat))
-        out = pa.table({"d1": group.column("d1"), "d2": group.column("d2"), "marks": marks})
+        out = pa.table({"depth": group.column("depth"), "digest": group.column("digest"), "marks": marks})
         return out.filter(pa.array(np.diff(np.asarray(cut)) > 0))
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "part", 1 << 20):
-            units = unit(*buffer(batch.column("part")))
-            offsets = units.first
-            starts = window_starts(offsets, width)
-            h1, h2 = (between(units.sums(s), starts, starts + width, s).view(np.int64) for s in (2, 3))
-            of = np.searchsorted(offsets, starts, "right") - 1
-            d1, d2 = (batch.column(c).to_numpy()[of] for c in ("d1", "d2"))
-            yield pa.record_batch([h1, h2, d1, d2, (starts - offsets[of]).astype(np.int32)], names=["h1", "h2", "d1", "d2", "at"])
-
-    # with copies, the stretch as a whole is settled, yet others are compared with it
-    several = split.where("copies > 1").select("d1", "d2", F.array(F.lit(0), F.col("count").cast("int")).alias("marks"))
-    cold = split.where("hot is null").select(F.pmod(F.xxhash64("value"), F.lit(shards)).alias("shard"), "d1", "d2", "part")
-    found = cold.groupBy("shard").applyInArrow(shard, MARKS)
-    spread = split.where("hot").select("d1", "d2", "part").mapInArrow(windows, "h1 bigint, h2 bigint, d1 bigint, d2 bigint, at int")
-    twice = spread.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    rest = spread.join(twice, ["h1", "h2"]).groupBy("d1", "d2").agg(F.flatten(F.collect_list(F.array("at", F.lit(1)))).alias("marks"))
-    every = several.unionByName(found).unionByName(rest)
-    return every.groupBy("d1", "d2").agg(F.flatten(F.collect_list("marks")).alias("marks")), split
+    dealt = every.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "depth", "digest", "part")
+    found = table(dealt.groupBy("shard").applyInArrow(shard, "depth int, digest binary, marks array<int>"), "found")
+    made.append(found)
+    marks = None
+    for depth in range(len(several) - 1, -1, -1):
+        own = several[depth].unionByName(found.where(F.col("depth") == depth)).select("digest", "marks")
+        if marks is not None:  # those of pieces, where the pieces stand in their parents
+            moved = F.flatten(F.transform("begins", lambda b: F.transform("marks", lambda m, i: F.when(i % 2 == 0, m + b).otherwise(m))))
+            own = own.unionByName(links[depth].join(marks, "digest").select(F.col("parent").alias("digest"), moved.alias("marks")))
+        marks = own.groupBy("digest").agg(F.flatten(F.collect_list("marks")).alias("marks"))
+    return marks, made
 
 
 def _spans(texts: DataFrame, unit: type, width: int) -> DataFrame:
@@ -274,12 +341,12 @@ def repeats(docs: DataFrame, unit: type, width: int, repeated: Callable, text: s
     texts = table(_extract(joined, unit, width), "candidates")
     counted = table(distinct.select("sha", "rows", "n"), "counted")
     drop_table(distinct)
-    marks, split = _settle(_stretches(texts, unit, width), unit, width, repeated)
-    places = texts.select("sha", F.explode(F.arrays_zip("begin", "d1", "d2")).alias("s")).select("sha", "s.*").distinct()
-    marked = places.join(marks, ["d1", "d2"]).groupBy("sha").agg(F.collect_list(F.struct("begin", "marks")).alias("marked"))
+    marks, made = _settle(_stretches(texts, unit, width), unit, width, repeated)
+    places = texts.select("sha", F.explode(F.arrays_zip("begin", "digest")).alias("s")).select("sha", "s.*").distinct()
+    marked = places.join(marks, "digest").groupBy("sha").agg(F.collect_list(F.struct("begin", "marks")).alias("marked"))
     found = table(_spans(texts.select("sha", "text").join(marked, "sha"), unit, width), "spans").dropDuplicates(["sha"])
-    drop_table(texts)
-    drop_table(split)
+    for used in (texts, *made):
+        drop_table(used)
     empty = hashlib.sha256(b"").hexdigest()
     copied = (F.col("rows") > 1) & (F.col("n") >= width)
     result = counted.join(found, "sha", "left").select(

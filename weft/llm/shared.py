@@ -3,52 +3,55 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDERS: dict[str, str] = {}
+#: Spark's own setting: shuffle files go when the query that made them has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def _root(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """Folder named by ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode and an error elsewhere."""
     context = spark.sparkContext
     key = context.applicationId
     if key not in _FOLDERS:
         base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
         if not base:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = tempfile.mkdtemp(prefix="weft-checkpoints-")
             context.setCheckpointDir(base)
         _FOLDERS[key] = f"{base.rstrip('/')}/weft-{uuid.uuid4().hex}"
-        atexit.register(_forget, context, _FOLDERS[key])
+        path = context._jvm.org.apache.hadoop.fs.Path(_FOLDERS[key])
+        atexit.register(_forget, path, context._jsc.hadoopConfiguration())
     return _FOLDERS[key]
 
 
-def _forget(context, folder: str) -> None:
-    if context._jsc is None:  # already stopped
-        return
-    try:
-        path = context._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the JVM may be gone at exit
-        pass
+def _forget(path, configuration) -> None:
+    """Deletes the folder, also after the session was stopped: the JVM goes last."""
+    with contextlib.suppress(Exception):  # the JVM may be gone all the same
+        path.getFileSystem(configuration).delete(path, True)
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
-    Cuts the lineage without depending on any one executor.  Shuffle files that
-    only the written plan needed become garbage, so both collectors are asked to run.
+    Cuts the lineage without depending on any one executor; shuffle files of the
+    written plan are deleted with it.
     """
     spark = df.sparkSession
     path = f"{_root(spark)}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return out
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_table(df: DataFrame) -> None:

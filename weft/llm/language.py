@@ -12,16 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .text import LOWER, SPACE, U, buffer, slices, spans
 
-#: Most rows of each language that a fit reads (chosen by hash) and the most languages.
-ROWS, LANGUAGES = 3_000, 200
-BITS, NGRAM = 17, 4
+#: Most distinct texts of each language that a fit reads, chosen by hash.
+ROWS = 3_000
+#: N-grams fall into 2 ** BITS buckets, or fewer where there are so many languages that the table would have over CELLS numbers.
+BITS, CELLS, NGRAM = 17, 1 << 25, 4
 
 
-def grams(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def grams(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each n-gram of each word with a space on both sides, and the first of each word (n + 1)."""
     sizes = ends - starts
     counts = sizes + 1  # one ends at each byte and one at the closing space
@@ -35,7 +36,7 @@ def grams(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
         own = at - k
         byte = np.where((place - k >= 0) & (own < ends[word]), wide[np.maximum(own, 0)], 32)
         code |= byte.astype(U) << U(8 * k)
-    return ((code * U(0x9E3779B97F4A7C15)) >> U(64 - BITS)).astype(np.int64), begin
+    return ((code * U(0x9E3779B97F4A7C15)) >> U(64 - bits)).astype(np.int64), begin
 
 
 def _clean(raw: np.ndarray) -> np.ndarray:
@@ -48,23 +49,24 @@ def _clean(raw: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = ROWS) -> tuple[list[str], np.ndarray]:
     """(languages, log probability of each bucket in each).  Rows with a null text or language teach nothing.
 
-    Reads at most ``rows`` texts of each language, the same at every size of input;
-    n-grams are counted where the texts are, and the driver gets counts only.
+    Every language that occurs is learned, from at most ``rows`` of its distinct texts,
+    the same at every size of input; n-grams are counted where the texts are, and the
+    driver gets counts only.
     """
-    known = docs.where(f"`{text}` is not null and `{lang}` is not null").select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    names = sorted(r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    known = docs.where(f"`{text}` is not null and `{lang}` is not null").select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).withColumn("hash", F.xxhash64("text"))
+    per = known.select("lang", "hash").distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    names = sorted(r.lang for r in per.select("lang").collect())
     if not names:
         return [], np.zeros((1 << BITS, 0), np.float32)
-    per = known.groupBy("lang").count().where(F.col("lang").isin(names))
-    shares = {r["lang"]: min(1.0, 1.2 * rows / r["count"]) for r in per.collect()}
-    share = F.element_at(F.create_map(*[F.lit(x) for n in names for x in (n, shares[n])]), F.col("lang"))
-    chosen = known.where(F.col("lang").isin(names)).where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
-    # copies share a hash: of each text in a language one teaches
-    chosen = chosen.select("text", "lang").dropDuplicates(["lang", "text"])
+    bits = min(BITS, (CELLS // len(names)).bit_length() - 1)
+    # about a fifth more than enough by hash, then the first ones; copies share a hash, so one of them teaches
+    chosen = known.join(per, "lang").where(F.pmod("hash", F.lit(1 << 30)) < F.least(F.lit(1.0), 1.2 * rows / F.col("n")) * (1 << 30)).dropDuplicates(["lang", "hash"])
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(1 << 30)), "hash"))
+    chosen = chosen.withColumn("at", first).where(F.col("at") <= rows).select("text", "lang")
     number = {n: k for k, n in enumerate(names)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(names), 1 << BITS), np.int64)
+        sums = np.zeros((len(names), 1 << bits), np.int64)
         seen = False
         for batch in slices(batches, "text", 1 << 20):
             raw, offsets = buffer(batch.column("text"))
@@ -73,24 +75,25 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = ROW
             if not len(starts):
                 continue
             seen = True
-            ids, begin = grams(clean, starts, ends)
+            ids, begin = grams(clean, starts, ends, bits)
             of = np.array([number[x] for x in batch.column("lang").to_pylist()])
             row = np.repeat(np.repeat(of, np.diff(first)), np.diff(begin))
-            sums += np.bincount(row * (1 << BITS) + ids, minlength=sums.size).reshape(sums.shape)
+            sums += np.bincount(row * (1 << bits) + ids, minlength=sums.size).reshape(sums.shape)
         if seen:
             for k in range(len(names)):
                 some = np.flatnonzero(sums[k])
                 yield pa.record_batch([pa.array(np.full(len(some), k, np.int32)), pa.array(some.astype(np.int32)), pa.array(sums[k][some])], names=["k", "g", "n"])
 
     counted = chosen.mapInArrow(count, "k int, g int, n bigint").groupBy("k", "g").agg(F.sum("n").alias("n"))
-    sums = np.zeros((1 << BITS, len(names)))
+    sums = np.zeros((1 << bits, len(names)), np.float32)
     for r in counted.toLocalIterator():
         sums[r.g, r.k] = r.n
-    total = sums.sum(0)
+    total = sums.sum(0, dtype=np.float64)
     # a bucket unseen in a language keeps a share of its probability in all of them
-    every = (sums.sum(1) + 0.5) / (sums.sum() + 0.5 * len(sums))
-    smooth = (sums + 2000 * every[:, None]) / (total + 2000)
-    return names, np.log(smooth).astype(np.float32)
+    every = (sums.sum(1, dtype=np.float64) + 0.5) / (total.sum() + 0.5 * len(sums))
+    for k in range(len(names)):
+        sums[:, k] = np.log((sums[:, k] + 2000 * every) / (total[k] + 2000))
+    return names, sums
 
 
 def _mixture(odds: np.ndarray, owner: np.ndarray, texts: int, allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +126,7 @@ def infer(odds: np.ndarray, owner: np.ndarray, texts: int, penalty: float = 3.0,
     share, likelihood = _mixture(odds, owner, texts, allowed, rounds)
     best, best_value, best_size = share, likelihood - languages * price, np.full(texts, languages)
     while (size := int(allowed[0].sum()) if texts else 0) > 1:
-        weakest = np.where(allowed > 0, share, np.inf).argmin(1)
+        weakest = languages - 1 - np.where(allowed > 0, share, np.inf)[:, ::-1].argmin(1)  # of equals the last name leaves
         allowed = allowed.copy()
         allowed[np.arange(texts), weakest] = 0
         share, likelihood = _mixture(odds, owner, texts, allowed, rounds)
@@ -144,12 +147,13 @@ def languages(docs: DataFrame, learned: tuple[list[str], np.ndarray], text: str
     the name that sorts first.
     """
     names, table = learned
+    bits, limit = len(table).bit_length() - 1, max(1 << 14, (1 << 22) // max(4, len(names)))  # a slice's words times languages
     shipped = docs.sparkSession.sparkContext.broadcast(table)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letter"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = shipped.value
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", limit):
             raw, offsets = buffer(batch.column("text"))
             clean = _clean(raw)
             starts, ends, first = spans(clean, offsets, ~SPACE)
@@ -157,7 +161,7 @@ def languages(docs: DataFrame, learned: tuple[list[str], np.ndarray], text: str
             pred, score, shares = ["und"] * n, np.zeros(n), [[] for _ in range(n)]
             if names and n:
                 if len(starts):
-                    ids, begin = grams(clean, starts, ends)
+                    ids, begin = grams(clean, starts, ends, bits)
                     logp = np.add.reduceat(logs[ids], begin[:-1], axis=0)
                     odds = np.exp(np.maximum(logp - logp.max(1, keepdims=True), -40)).astype(np.float64)
                 else:

@@ -1,9 +1,10 @@
 """Best-fit packing of token sequences by patterns of lengths.
 
 Only the histogram of piece lengths, at most one row for each length, reaches the
-driver.  Patterns of a few lengths that fill a sequence are enumerated, non-negative
-least squares fits how often to use each, the counts are rounded down, and best fit
-on the histogram packs what is left.  The plan is a short list of ranges of ranks
+driver.  Patterns of a few lengths that fill a sequence are enumerated, beside those that
+best fit makes of the histogram; non-negative least squares, from best fit's counts on,
+fits how often to use each and how little room to waste; the counts are rounded, and best
+fit packs what is left.  The plan is a short list of ranges of ranks
 within each length; pieces get their ranks by counts of salted groups.
 """
 
@@ -49,24 +50,30 @@ def pieces(docs: DataFrame, tokenizer: str, room: int = 4096, end_id: int = 1, t
     return rows.mapInArrow(run, f"key {kind}, piece int, start bigint, length bigint, ids_crc32 bigint").withColumnRenamed("key", key)
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """Non-negative x that nearly minimises ||a x - b||, by projected steps with momentum."""
-    gram, right = a.T @ a, a.T @ b
-    v = np.ones(len(gram))
+def nnls(row: np.ndarray, column: np.ndarray, value: np.ndarray, b: np.ndarray, x: np.ndarray, rounds: int = 4000, near: float = 1e-5) -> np.ndarray:
+    """Non-negative x that minimises ||a x - b||, by projected steps with momentum from the x given.
+
+    ``a`` has ``value`` at (row, column).  Ends when a round moves x by less than ``near`` of its size.
+    """
+    times = lambda x: np.bincount(row, value * x[column], len(b))
+    back = lambda r: np.bincount(column, value * r[row], len(x))
+    v, size = np.ones(len(x)), 1.0
     for _ in range(30):
-        w = gram @ v
-        norm = np.linalg.norm(w)
-        if not norm:
-            break
-        v = w / norm
-    step = 1 / max(1e-9, 1.05 * float(v @ gram @ v))
-    x = y = np.zeros(len(right))
-    t = 1.0
+        w = back(times(v))
+        size = float(np.linalg.norm(w))
+        if not size:
+            return x
+        v = w / size
+    step = 1 / (1.05 * size)
+    y, t = x, 1.0
     for _ in range(rounds):
-        new = np.maximum(0, y - step * (gram @ y - right))
+        new = np.maximum(0, y - step * back(times(y) - b))
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
         y = new + (t - 1) / t2 * (new - x)
+        moved = np.linalg.norm(new - x)
         x, t = new, t2
+        if moved <= near * np.linalg.norm(new):
+            break
     return x
 
 
@@ -104,73 +111,93 @@ def _patterns(lengths: np.ndarray, counts: np.ndarray, room: int, most: int) ->
     return taken + [p for p in single if 2 * p[0] > room]
 
 
-def plan(histogram: dict[int, int], room: int = 4096, most: int = 1500) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, repeats): together they use every piece once.
-
-    The number of entries depends on the number of distinct lengths only.  Where few
-    patterns fill a sequence, the fit may leave worse residuals than it saves: of
-    plans whose patterns must be so full, the one with fewest sequences is taken.
-    """
-    return min((_plan(histogram, room, most, full) for full in (0.98, 0.999, 2.0)), key=lambda p: sum(times for _, times in p))
+class _Left:
+    """Pieces of each length that have no place yet, and the patterns used so far."""
 
+    def __init__(self, histogram: dict[int, int]) -> None:
+        self.left = {n: c for n, c in histogram.items() if c}
+        self.used: list[tuple[tuple[int, ...], int]] = []
 
-def _plan(histogram: dict[int, int], room: int, most: int, full: float) -> list[tuple[tuple[int, ...], int]]:
-    left = {n: c for n, c in histogram.items() if c}
-    out: list[tuple[tuple[int, ...], int]] = []
+    def possible(self, pattern: tuple[int, ...]) -> int:
+        return min(self.left.get(n, 0) // pattern.count(n) for n in set(pattern))
 
-    def use(pattern: tuple[int, ...], times: int) -> None:
-        out.append((pattern, times))
+    def use(self, pattern: tuple[int, ...], times: int) -> None:
+        self.used.append((pattern, times))
         for n in pattern:
-            left[n] -= times
-            if not left[n]:
-                del left[n]
-
-    def possible(pattern: tuple[int, ...]) -> int:
-        return min(left.get(n, 0) // pattern.count(n) for n in set(pattern))
-
-    lengths = np.array(sorted(n for n in left if n < room), np.int64)
-    if left.get(room):
-        use((room,), left[room])
-    if len(lengths):
-        counts = np.array([left[n] for n in lengths.tolist()], float)
-        patterns = [p for p in _patterns(lengths, counts, room, most) if sum(p) > full * room]
-        if patterns:
-            row = {n: k for k, n in enumerate(lengths.tolist())}
-            a = np.zeros((len(lengths), len(patterns)))
-            for j, p in enumerate(patterns):
-                for n in p:
-                    a[row[n], j] += 1
-            for j, x in sorted(enumerate(nnls(a, counts)), key=lambda e: -e[1]):
-                if (times := min(int(x + 1e-9), possible(patterns[j]))) > 0:
-                    use(patterns[j], times)
-    # best fit, largest first: each pattern is repeated as long as its lengths last
-    while left:
-        have = np.array(sorted(left), np.int64)
-        taken: dict[int, int] = {}
-        space = room
-        while space:
-            k = int(np.searchsorted(have, space, "right")) - 1
-            while k >= 0 and taken.get(int(have[k]), 0) >= left[int(have[k])]:
-                k -= 1
-            if k < 0:
-                break
-            n = int(have[k])
-            # leave room for a pair that fills the rest exactly, if the largest doesn't
-            if taken and space - n and space - n < have[0]:
-                small = have[have < space]
-                other = space - small
-                at = np.minimum(np.searchsorted(small, other), len(small) - 1) if len(small) else other
-                exact = np.flatnonzero(small[at] == other) if len(small) else other
-                for e in exact[::-1].tolist():
-                    x, y = int(small[e]), int(other[e])
-                    if all(taken.get(z, 0) + 1 + (x == y) <= left[z] for z in (x, y)):
-                        n = max(x, y)
-                        break
-            taken[n] = taken.get(n, 0) + 1
-            space -= n
-        pattern = tuple(n for n, c in sorted(taken.items(), reverse=True) for _ in range(c))
-        use(pattern, max(1, possible(pattern)))
-    return out
+            self.left[n] -= times
+            if not self.left[n]:
+                del self.left[n]
+
+    def best_fit(self, room: int) -> None:
+        """Largest first: each pattern is repeated as long as its lengths last."""
+        left = self.left
+        while left:
+            have = np.array(sorted(left), np.int64)
+            taken: dict[int, int] = {}
+            space = room
+            while space:
+                k = int(np.searchsorted(have, space, "right")) - 1
+                while k >= 0 and taken.get(int(have[k]), 0) >= left[int(have[k])]:
+                    k -= 1
+                if k < 0:
+                    break
+                n = int(have[k])
+                # leave room for a pair that fills the rest exactly, if the largest doesn't
+                if taken and space - n and space - n < have[0]:
+                    small = have[have < space]
+                    other = space - small
+                    at = np.minimum(np.searchsorted(small, other), len(small) - 1) if len(small) else other
+                    exact = np.flatnonzero(small[at] == other) if len(small) else other
+                    for e in exact[::-1].tolist():
+                        x, y = int(small[e]), int(other[e])
+                        if all(taken.get(z, 0) + 1 + (x == y) <= left[z] for z in (x, y)):
+                            n = max(x, y)
+                            break
+                taken[n] = taken.get(n, 0) + 1
+                space -= n
+            pattern = tuple(n for n, c in sorted(taken.items(), reverse=True) for _ in range(c))
+            self.use(pattern, max(1, self.possible(pattern)))
+
+
+def _count(used: list[tuple[tuple[int, ...], int]]) -> int:
+    return sum(times for _, times in used)
+
+
+def plan(histogram: dict[int, int], room: int = 4096, most: int = 1500, full: float = 0.98) -> list[tuple[tuple[int, ...], int]]:
+    """(pattern, repeats): together they use every piece once.
+
+    The number of entries depends on the number of distinct lengths only.  Best fit's own
+    patterns and counts are where the least squares begin; where rounding what they end
+    with needs more sequences than that, the beginning stands.
+    """
+    start = _Left(histogram)
+    start.best_fit(room)
+    if not start.used:
+        return []
+    lengths = np.array(sorted(n for n, c in histogram.items() if c), np.int64)
+    counts = np.array([histogram[n] for n in lengths.tolist()], float)
+    before: dict[tuple[int, ...], int] = {}
+    for pattern, times in start.used:
+        before[pattern] = before.get(pattern, 0) + times
+    short = lengths[lengths < room]
+    more = [p for p in _patterns(short, counts[lengths < room], room, most) if sum(p) > full * room] if len(short) else []
+    patterns = [*before, *(p for p in more if p not in before)]
+    place = {n: k for k, n in enumerate(lengths.tolist())}
+    cells = [(place[n], j, p.count(n)) for j, p in enumerate(patterns) for n in set(p)]
+    # the last row: room that is wasted, in sequences, and should be none
+    cells += [(len(lengths), j, (room - sum(p)) / room) for j, p in enumerate(patterns)]
+    row, column, value = (np.array(c) for c in zip(*cells))
+    x = nnls(row, column, value.astype(float), np.append(counts, 0.0), np.array([before.get(p, 0) for p in patterns], float))
+    best = start
+    for half in (0.0, 0.5):  # rounded down, or to the nearest
+        rounded = _Left(histogram)
+        for j in np.argsort(-x, kind="stable").tolist():
+            if (times := min(int(x[j] + half + 1e-6), rounded.possible(patterns[j]))) > 0:
+                rounded.use(patterns[j], times)
+        rounded.best_fit(room)
+        if _count(rounded.used) <= _count(best.used):
+            best = rounded
+    return best.used
 
 
 def slots(planned: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:

@@ -413,7 +413,37 @@ def test_licenses(spark):
     assert [m.license for m in got[1]] == ["mit"] and 0.9 < got[1][0].coverage < 1 and got[1][0].start_word == 20
     assert [(m.license, m.coverage, m.start_byte, m.end_byte) for m in got[2]] == [("all-rights-reserved", 1.0, 0, 19)]
     assert len(got[6]) == 400 and not got[3] and not got[4] and not got[5] and not got[7]
-    assert align(np.array([1, 2, 3, 4]), np.array([9, 1, 2, 7, 4]), 1, 2) == (3, 1, 5)
+    assert align(np.array([1, 2, 3, 4]), np.array([9, 1, 2, 7, 4]), np.arange(4) + 1, np.full(4, 2)) == (3, 1, 5)
+    full = " ".join([TEMPLATES["bsd-3-clause"], "x"])
+    two = {r.doc_id: [m.license for m in r.matches] for r in license_scan(spark.createDataFrame([(1, full), (2, TEMPLATES["bsd-2-clause"]), (3, TEMPLATES["mit-permission"]), (1, full), (4, TEMPLATES["isc"] + prose(3) + " " + TEMPLATES["isc"])], "doc_id bigint, text string").withColumn("key", F.lit(1)).withColumn("matches", F.lit(2))).collect()}
+    assert two == {1: ["bsd-3-clause"], 2: ["bsd-2-clause"], 3: ["mit-permission"], 4: ["isc", "isc"]}
+
+
+def test_licenses_equal_whole_alignments(spark):
+    """Edited templates among words that no template has: the banded alignment finds what a full one does."""
+    from weft.llm.licenses import license_scan
+
+    words = [f"w{k}" for k in range(300)]
+    templates = {f"t{n}": " ".join(RNG.choice(words, n)) for n in (12, 40, 160)}
+    rows, want = [], {}
+    for k in range(45):
+        name = list(templates)[k % 3]
+        t = templates[name].split()
+        edited = []
+        for w in t:
+            roll = RNG.random()
+            edited += [] if roll < 0.04 else [w, prose(1)] if roll < 0.08 else [prose(1)] if roll < 0.1 else [w]
+        if k % 5 == 0:
+            edited[len(edited) // 2 : len(edited) // 2] = prose(len(t) // 5).split()
+        text = prose(30).split() + edited + prose(400 if k == 7 else 20).split()
+        score = np.zeros((len(t) + 1, len(text) + 1), int)
+        for i, w in enumerate(t):
+            for j, x in enumerate(text):
+                score[i + 1, j + 1] = score[i, j] + 1 if w == x else max(score[i, j + 1], score[i + 1, j])
+        rows.append((k, " ".join(text)))
+        want[k] = (name, int(score[-1, -1]) / len(t))
+    got = {r.doc_id: [(m.license, m.coverage) for m in r.matches] for r in license_scan(spark.createDataFrame(rows, "doc_id bigint, text string"), templates, least=0.5).collect()}
+    assert sum(got[k] == [want[k]] for k in want) >= 43 and all(len(m) <= 1 and (not m or m[0][1] <= want[k][1]) for k, m in got.items())
 
 
 @pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"])
@@ -426,6 +456,123 @@ def test_empty_tables(spark, tmp_path, name):
     assert query(spark, str(tmp_path)).collect() == []
 
 
+ODD = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, label string, node int, row int, key string, own string, `a.b` int"
+
+
+def odd_docs(spark, rows):
+    """Documents with extra columns whose names operators use themselves."""
+    return spark.createDataFrame([(*r, "s", "l", 1, 2, "k", "o", 3) for r in rows], ODD)
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_on_odd_inputs(spark, k):
+    """Nulls in any column, empty, long and repeated texts, no rows, clashing names."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    rows = [r for r in ROWS if r[0] is not None] + [(None, prose(40), None, None, None), (500, None, "aa", "s", 0), (500, None, "aa", "s", 0), (501, prose(60_000), None, None, None)]
+    docs = odd_docs(spark, rows)
+    name, stage = corpus_pipeline.STAGES[k]
+    out = stage(spark, docs, sf).collect()
+    none = stage(spark, docs.limit(0), sf)
+    assert none.count() == 0
+    if k < 4:
+        assert none.columns == docs.columns and all(r["a.b"] == 3 and r.row == 2 and r.own == "o" for r in out)
+    texts = Counter(r.text for r in out) if k < 4 else None
+    if name == "quality classifier":
+        assert 0 < len(out) <= len(rows)
+    elif name == "simhash near dedup":
+        assert texts[None] == 3 and texts[""] == 1 and texts[ROWS[8][1]] == 1 and max(n for t, n in texts.items() if t and t.split()) == 1
+    elif name in ("suffix array dedup", "benchmark decontamination"):
+        assert len(out) == len(rows) and texts[None] == 3 and all(r.n_chars == len(r.text) for r in out if r.text is not None)
+    else:
+        assert Counter(r.doc_id for r in out if r.piece == 0) == Counter(r[0] for r in rows)
+
+
+def test_near_copies_equal_brute_force_on_test_data(spark):
+    """Recall of near copies on the given tables: every group of chains of similarity 0.8 keeps one."""
+    from weft.llm.near_copies import without_copies
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    sets = {}
+    for i, t in rows:
+        w = t.encode().lower().split()
+        sets[i] = frozenset(b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else None
+    where = defaultdict(list)
+    for i, s in sets.items():
+        for x in s or ():
+            where[x].append(i)
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in sets.items():
+        shared = Counter(j for x in s or () for j in where[x] if j < i)
+        for j, n in shared.items():
+            if n >= 0.8 * (len(s) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    want = sorted(i for i in sets if sets[i] is None or find(i) == i)
+    assert sorted(r.doc_id for r in without_copies(docs).select("doc_id").collect()) == want
+
+
+def test_held_out_accuracy(spark):
+    """What is learned from the other rows holds for those left out."""
+    from weft.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    lang = queries.op3_language_id(spark, sf).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null and lang_pred <> 'und'")
+    assert lang.where("lang = lang_pred").count() >= 0.97 * lang.count() > 100
+    quality = queries.op5_quality_classifier(spark, sf).where("held_out").join(labels, "doc_id")
+    assert quality.where("predicted = quality").count() >= 0.9 * quality.count() > 50
+
+
+def test_language_on_odd_inputs(spark):
+    """Many languages are all learned; copies teach once; rows repeat; names clash; long texts; ties go by name."""
+    from weft.llm.language import fit, languages
+
+    words = {f"l{k:03}": ["".join(RNG.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)] for k in range(230)}
+    rows = [(n, " ".join(RNG.choice(w, 40))) for n, w in words.items() for _ in range(3)] + [("l000", " ".join(words["l000"]))] * 500
+    train = spark.createDataFrame(rows, "lang string, text string")
+    learned = fit(train, rows=2)
+    assert learned[0] == sorted(words)
+    test = [(k, " ".join(RNG.choice(words[n], 30)), n) for k, n in enumerate(sorted(words)[::7])]
+    test += [test[0], (900, " ".join(RNG.choice(words["l003"], 40_000)), "l003")]
+    got = languages(spark.createDataFrame(test, "doc_id bigint, text string, lang string").withColumn("key", F.lit(1)).withColumn("shares", F.lit(1)), learned).collect()
+    want = {k: n for k, _, n in test}
+    assert len(got) == len(test) and sum(r.lang_pred == want[r.doc_id] for r in got) >= 0.95 * len(got)
+    both = fit(spark.createDataFrame([("b", "one two"), ("a", "one two")], "lang string, text string"))
+    assert languages(spark.createDataFrame([(1, "one")], "doc_id bigint, text string"), both).first().lang_pred == "a"
+
+
+def test_quality_on_odd_inputs(spark):
+    """Repeated and disputed keys, long texts, a score column that is there already, ties of scores."""
+    from weft.llm.quality import fit, score
+
+    rows = [(k, (prose(60) if k % 2 else "spam " * 40)) for k in range(40)]
+    docs = spark.createDataFrame([*rows, *rows[:5] * 30, (77, prose(30_000)), (78, None)], "doc_id bigint, text string").withColumn("score", F.lit("mine"))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(3, 0), (77, 1), (78, 1), (5, 1), (6, 9)], "doc_id bigint, quality int")
+    learned = fit(docs, labels)
+    assert learned[2] == 39  # 3 is disputed, 78 has no text, 6 has one label of the two that count
+    out = score(docs, learned)
+    assert out.columns == ["doc_id", "text", "score"] and out.count() == docs.count()
+    by = {r.doc_id: r.score for r in out.collect()}
+    assert all((by[k] >= 0.5) == bool(k % 2) for k in range(7, 40)) and by[0] == by[2]
+
+
+def test_repeated_vectors(spark):
+    from weft.llm.embeddings import near_vectors
+
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [0.0, 1.0], 0), (None, [0.0, 1.0], 0)]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")).collect()
+    assert bag((r.vec_id, r.n_links, r.component_id) for r in got) == bag([(1, 1, 1), (1, 1, 1), (2, 1, 2), (None, 1, 2)])
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

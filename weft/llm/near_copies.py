@@ -142,9 +142,10 @@ def _can(least: float, a: str = "a", b: str = "b") -> Column:
 
 def _fronts(texts: DataFrame) -> DataFrame:
     """(hash, node, size, rest, MAP) of the shingles that are among the first of two texts or more."""
-    rows = texts.select("node", "size", F.posexplode("front").alias("at", "hash"), *MAP)
+    rows = texts.select("node", F.posexplode("front").alias("at", "hash"))
     shared = rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    return rows.join(shared, "hash").select("hash", "node", "size", (F.col("size") - F.col("at")).alias("rest"), *MAP)
+    met = rows.join(shared, "hash").join(texts.select("node", "size", *MAP), "node")
+    return met.select("hash", "node", "size", (F.col("size") - F.col("at")).alias("rest"), *MAP)
 
 
 def _around(fronts: DataFrame, least: float) -> DataFrame:
@@ -229,7 +230,10 @@ def without_copies(docs: DataFrame, width: int = 5, least: float = 0.8, text: st
         first = F.row_number().over(Window.partitionBy("a", "root").orderBy("b")) == 1
         for chosen in (first, F.lit(True)):
             left = _rooted(apart, whole).withColumn("chosen", chosen).where("chosen").select("a", "b")
-            edges = table(edges.union(_alike(left, sets, least)), "alike")
+            more = table(_alike(left, sets, least), "alike")
+            if more.isEmpty():
+                continue
+            edges = edges.union(more)
             whole = table(components(edges), "roots")
         drop_table(sets)
     drop_table(fronts)

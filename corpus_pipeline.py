@@ -23,7 +23,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Drops documents that the quality classifier scores below one half; null texts count as empty."""
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.score(docs, quality.fit(docs, labels), to="__quality").where("__quality >= 0.5").drop("__quality")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return quality.score(packed, quality.fit(docs, labels), to="score").where("score >= 0.5").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Semantics that a plain translation gets wrong, and what SQL does not show."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -174,3 +176,122 @@ def test_whole_components_and_missing_keys(spark):
         parts[size % 50 or None].append(k)
     want = Counter((x, y) for keys in parts.values() for x in keys for y in keys)
     assert Counter(map(tuple, queries["merge_missing_keys_whole"](spark, folder).select("x", "y").collect())) == want
+
+
+# ---- seeded columns: mean and variance of each distribution
+def _moments(spark, make):
+    got = spark.range(20_000).select(make(["id"]).cast("double").alias("r")).toPandas().r.to_numpy()
+    assert np.isfinite(got).all()
+    return got.mean(), got.var()
+
+
+@pytest.mark.parametrize(
+    "name, make, mean, var",
+    [
+        ("gamma", lambda k: random.gamma(k, 2.5, 2.0), 5, 10),
+        ("gamma below one", lambda k: random.standard_gamma(k, 0.5), 0.5, 0.5),
+        ("chisquare", lambda k: random.chisquare(k, 3), 3, 6),
+        ("beta", lambda k: random.beta(k, 2, 3), 0.4, 0.04),
+        ("f", lambda k: random.f(k, 4, 20), 20 / 18, 2 * 400 * 22 / (4 * 18 * 18 * 16)),
+        ("standard_t", lambda k: random.standard_t(k, 12), 0, 1.2),
+        ("noncentral_chisquare", lambda k: random.noncentral_chisquare(k, 3, 2), 5, 14),
+        ("wald", lambda k: random.wald(k, 2, 5), 2, 8 / 5),
+        ("vonmises", lambda k: random.vonmises(k, 0.5, 8.0), 0.5, 0.134),
+        ("poisson", lambda k: random.poisson(k, 6.5), 6.5, 6.5),
+        ("negative_binomial", lambda k: random.negative_binomial(k, 4, 0.4), 6, 15),
+        ("hypergeometric", lambda k: random.hypergeometric(k, 7, 13, 6), 2.1, 6 * 0.35 * 0.65 * 14 / 19),
+        ("logseries", lambda k: random.logseries(k, 0.5), 1 / math.log(2), 2 / math.log(2) - 1 / math.log(2) ** 2),
+        ("zipf", lambda k: random.zipf(k, 6.0), 1.0369277551 / 1.0173430620, 0.025),
+        ("dirichlet", lambda k: F.get(random.dirichlet(k, [1.0, 2.0, 3.0]), 1), 1 / 3, (1 / 3) * (2 / 3) / 7),
+        ("multinomial", lambda k: F.get(random.multinomial(k, 8, [0.2, 0.5, 0.3]), 1), 4, 2),
+        ("multivariate_normal", lambda k: F.get(random.multivariate_normal(k, [1.0, 2.0], [[2.0, 0.5], [0.5, 1.0]]), 1), 2, 1),
+        ("standard_exponential", lambda k: random.standard_exponential(k), 1, 1),
+        ("random_sample", lambda k: random.random_sample(k), 0.5, 1 / 12),
+        ("random_bytes", lambda k: F.ascii(F.substring(F.hex(random.random_bytes(k, 40)), 79, 1)), None, None),
+    ],
+)
+def test_random_moments(spark, name, make, mean, var):
+    m, v = _moments(spark, make)
+    if mean is not None:
+        assert m == pytest.approx(mean, abs=5 * math.sqrt(var / 20_000)) and v == pytest.approx(var, rel=0.15)
+    two = spark.range(100).repartition(7).select(make(["id"]).cast("double").alias("r"), "id").orderBy("id").toPandas().r
+    assert two.equals(spark.range(100).select(make(["id"]).cast("double").alias("r"), "id").orderBy("id").toPandas().r)
+
+
+SPECIAL = [
+    # values as the usual tables give them
+    ("jv", (0.0, 2.5), -0.0483837764681979), ("jv", (3.0, 4.0), 0.4301714738756219), ("iv", (1.0, 2.0), 1.5906368546373290), ("kv", (0.5, 2.0), math.sqrt(math.pi / 4) * math.exp(-2)), ("kn", (0.0, 1.0), 0.4210244382407083),
+    ("ive", (0.0, 1.0), 1.2660658777520084 * math.exp(-1)), ("ellipk", (0.5,), 1.8540746773013719), ("ellipe", (0.5,), 1.3506438810476755), ("ellipkm1", (0.5,), 1.8540746773013719), ("gammainc", (2.0, 1.0), 1 - 2 * math.exp(-1)), ("gammainc", (2.0, 9.0), 1 - 10 * math.exp(-9)),
+    ("gammaincc", (1.0, 3.0), math.exp(-3)), ("betainc", (2.0, 3.0, 0.4), 0.5248), ("betainc", (2.0, 3.0, 0.9), 0.9963), ("erfinv", (0.5,), 0.4769362762044699), ("erfcinv", (1.5,), -0.4769362762044699), ("erfcx", (1.0,), math.e * math.erfc(1)),
+    ("erfcx", (9.0,), 0.0623077240377748), ("dawsn", (1.0,), 0.5380795069127684), ("erfi", (1.0,), 1.6504257587975429), ("polygamma", (1.0, 1.0), math.pi**2 / 6), ("polygamma", (2.0, 1.0), -2.4041138063191886), ("gammasgn", (-0.5,), -1.0),
+    ("multigammaln", (3.0, 2.0), 0.5 * math.log(math.pi) + math.lgamma(3) + math.lgamma(2.5)), ("hyp0f1", (1.5, 1.0), math.sinh(2) / 2), ("hyp1f1", (1.0, 2.0, 1.0), math.e - 1), ("hyp2f1", (1.0, 1.0, 2.0, 0.5), 2 * math.log(2)),
+]
+
+
+def test_special_functions(spark):
+    from weft.functions import numeric
+
+    got = spark.range(1).select(*[numeric.special(n)(*[F.lit(float(a)) for a in args]).alias(f"r{k}") for k, (n, args, _) in enumerate(SPECIAL)]).first()
+    for k, (name, args, want) in enumerate(SPECIAL):
+        assert got[k] == pytest.approx(want, rel=1e-7), (name, args)
+
+
+def test_boosted_trees_learn(spark):
+    from weft.operators import learn
+
+    df = spark.range(400).selectExpr("id", "id % 20 as a", "if(id % 3 = 0, null, id % 7) as b").selectExpr("*", "cast(a > 9 as double) as y", "if(a > 9, 5.0, a / 10) as z")
+    assert learn.boost_predict(df, learn.boost(df, ["a", "b"], "y", "classification", rounds=5), ["a", "b"]).where("prediction = y").count() == 400
+    off = learn.boost_predict(df, learn.boost(df, ["a", "b"], "z", rounds=30, rate=0.3), ["a", "b"]).agg(F.max(F.abs(F.col("prediction") - F.col("z")))).first()[0]
+    assert off < 0.1
+
+
+def test_targets_folds_and_checks(spark):
+    from weft.operators import learn
+
+    df = spark.range(200).selectExpr("id", "id % 2 as b", "id % 5 as m", "id / 7 as c", "array(id % 2, 1) as l")
+    assert [learn.type_of_target(df, x) for x in "bmcl"] == ["binary", "multiclass", "continuous", "multilabel-indicator"] and learn.is_multilabel(df, "l")
+    folds = [r["count"] for r in learn.k_fold(df, ["id"], 4).groupBy("fold").count().collect()]
+    assert len(folds) == 4 and sum(folds) == 200 and min(folds) > 25
+    assert learn.check_consistent_length(df, df) == 200
+    with pytest.raises(ValueError):
+        learn.check_consistent_length(df, df.limit(3))
+    with pytest.raises(Exception, match="negative"):
+        learn.check_non_negative(df.selectExpr("id - 5.0 as x"), ["x"]).collect()
+    with pytest.raises(Exception, match="not finite"):
+        learn.assert_all_finite(df.selectExpr("double('nan') as x"), ["x"]).collect()
+    assert learn.assert_all_finite(df, ["c"]).count() == 200
+    blobs = learn.make_classification(spark, 300, 2, 3, 6.0)
+    assert blobs.where("(x[0] > 3) = (label = 1)").count() > 290
+    rows = np.array([r.x for r in learn.make_low_rank_matrix(spark, 50, 6, 2).collect()])
+    assert np.linalg.matrix_rank(rows, tol=1e-8) == 2
+    made, s, _ = learn.truncated_svd(spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(rows)], "id bigint, x array<double>"), "id", "x", 6, 2)
+    assert np.linalg.norm([r.svd for r in made.collect()], axis=0) == pytest.approx(s, rel=1e-6)
+
+
+def test_groups_reach_reducers_whole(spark):
+    import pandas as pd
+
+    rows = [(None if k % 11 == 0 else k % 4, k) for k in range(3000)]
+    df = spark.createDataFrame(rows, "k bigint, v bigint")
+    want = {}
+    for k, v in rows:
+        want[k] = want.get(k, 0) + v
+    one = Frame(df).groupby("k", dropna=False).mf.apply_chunk(lambda p: pd.DataFrame({"k": p.k[:1].astype("Int64"), "n": [p.v.sum()]}), "k bigint, n bigint").df.collect()
+    assert {r.k: r.n for r in one} == want and len(one) == len(want)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        many = Frame(df).mf.map_reduce(None, lambda b: b.groupby("k", dropna=False, as_index=False).v.sum().astype({"k": "Int64"}).rename(columns={"v": "n"}), ["k"], "k bigint, n bigint", whole_groups=True).df.collect()
+        again = Frame(df).mf.map_reduce(None, lambda p: pd.DataFrame({"k": p.k[:1].astype("Int64"), "n": [p.v.sum()]}), ["k"], "k bigint, n bigint", order_cols=["v"]).df.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.k: r.n for r in many} == want == {r.k: r.n for r in again} and len(many) == len(again) == len(want)
+
+
+def test_orders_are_asked_for(spark):
+    df = spark.createDataFrame([(1, 2), (1, 3)], "a int, b int")
+    for make in (lambda f: f.drop_duplicates(["a"]), lambda f: f.groupby("a").agg(x=("b", "first")), lambda f: f.groupby("a").agg(x=("b", "idxmax"))):
+        with pytest.raises(ValueError, match="order"):
+            make(Frame(df))
+    assert Frame(df, ["b"]).groupby("a").agg(x=("b", "idxmax")).df.first().x == 3
+    least = spark.createDataFrame([(1, -(2**63)), (2, 5)], "i int, v bigint")
+    assert Frame(least, ["i"]).agg(x=("v", "idxmax")).df.first().x == 2

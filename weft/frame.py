@@ -1,7 +1,8 @@
 """Labelled, ordered frames that compile to Spark plans.
 
 A ``Frame`` is a Spark DataFrame with the columns that give its rows their order and
-those that are its index.  Nothing runs before ``execute``, ``fetch`` or a sink.  A
+those that are its index.  Nothing runs before ``execute``, ``fetch`` or a
+sink, but for row numbers and running values over all rows, which write ranges once.  A
 ``Series`` is one column expression over a frame.
 """
 
@@ -36,6 +37,17 @@ class Series:
     def _new(self, column: Column) -> Series:
         return Series(self.frame, column, self.name)
 
+    @property
+    def _kind(self): return A.kind_of(self.frame.df, self.column)
+
+    @property
+    def _sound(self) -> Column:
+        """The column without NaN, which counts as missing."""
+        return A.sound(self.column, self._kind)
+
+    def _compare(self, o, how: str) -> Series:
+        return self._new(E.compare(self._sound, how, o._sound if isinstance(o, Series) else _col(o)))
+
     def rename(self, name: str) -> Series: return Series(self.frame, self.column, name)
     def to_frame(self, name: str | None = None) -> Frame: return self.frame._with(self.frame.df.select(*self.frame._keys(), self.column.alias(name or self.name)))
 
@@ -65,12 +77,12 @@ class Series:
     __add__, __sub__, __mul__, __truediv__, __floordiv__, __mod__, __pow__ = add, sub, mul, truediv, floordiv, mod, pow
     __radd__, __rsub__, __rmul__, __rtruediv__, __rfloordiv__, __rmod__, __rpow__ = radd, rsub, rmul, rtruediv, rfloordiv, rmod, rpow
 
-    def eq(self, o): return self._new(E.compare(self.column, "eq", _col(o)))
-    def ne(self, o): return self._new(E.compare(self.column, "ne", _col(o)))
-    def lt(self, o): return self._new(E.compare(self.column, "lt", _col(o)))
-    def le(self, o): return self._new(E.compare(self.column, "le", _col(o)))
-    def gt(self, o): return self._new(E.compare(self.column, "gt", _col(o)))
-    def ge(self, o): return self._new(E.compare(self.column, "ge", _col(o)))
+    def eq(self, o): return self._compare(o, "eq")
+    def ne(self, o): return self._compare(o, "ne")
+    def lt(self, o): return self._compare(o, "lt")
+    def le(self, o): return self._compare(o, "le")
+    def gt(self, o): return self._compare(o, "gt")
+    def ge(self, o): return self._compare(o, "ge")
     __eq__, __ne__, __lt__, __le__, __gt__, __ge__ = eq, ne, lt, le, gt, ge
     __hash__ = None
 
@@ -94,10 +106,10 @@ class Series:
     def round(self, decimals: int = 0): return self._new(F.bround(self.column, decimals))
     def between(self, low, high, inclusive="both"): return self._new(E.between(self.column, low, high, inclusive))
     def isin(self, values): return self._new(F.coalesce(self.column.isin(list(values)), F.lit(False)))
-    def isna(self): return self._new(self.column.isNull())
-    def notna(self): return self._new(self.column.isNotNull())
+    def isna(self): return self._new(self._sound.isNull())
+    def notna(self): return self._new(self._sound.isNotNull())
     isnull, notnull = isna, notna
-    def fillna(self, value): return self._new(F.coalesce(self.column, _col(value)))
+    def fillna(self, value): return self._new(F.coalesce(self._sound, _col(value)))
     def clip(self, lower=None, upper=None): return self._new(E.clip(self.column, lower, upper))
     def where(self, condition, other=None): return self._new(F.when(_col(condition), self.column).otherwise(_col(other)))
     def mask(self, condition, other=None): return self._new(F.when(_col(condition), _col(other)).otherwise(self.column))
@@ -120,15 +132,17 @@ class Series:
     def shift(self, n: int = 1, fill=None): return self._over(lambda w: F.lag(self.column, n, fill).over(w))
     def diff(self, n: int = 1): return self._over(lambda w: self.column - F.lag(self.column, n).over(w))
     def pct_change(self, n: int = 1): return self._over(lambda w: F.try_divide(self.column, F.lag(self.column, n).over(w)) - 1)
-    def _running(self, f: Callable): return self._over(lambda w: F.when(self.column.isNotNull(), f(self.column).over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    def _running(self, f: Callable):
+        c = self._sound
+        return self._over(lambda w: F.when(c.isNotNull(), f(c).over(w.rowsBetween(Window.unboundedPreceding, 0))))
     def cumsum(self): return self._running(F.sum)
     def cummax(self): return self._running(F.max)
     def cummin(self): return self._running(F.min)
     def cumprod(self): return self._running(F.product)
     def cumcount(self): return self._over(lambda w: F.row_number().over(w) - 1)
-    def ffill(self): return self._over(lambda w: F.last(self.column, True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    def bfill(self): return self._over(lambda w: F.first(self.column, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    def rank(self, method="average", ascending=True, pct=False): return self._new(A.rank(self.column, [], method, ascending, pct, self.frame.order))
+    def ffill(self): return self._over(lambda w: F.last(self._sound, True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    def bfill(self): return self._over(lambda w: F.first(self._sound, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    def rank(self, method="average", ascending=True, pct=False): return self._new(A.rank(self._sound, [], method, ascending, pct, self.frame.order))
     def rolling(self, window: int, min_periods: int | None = None, center: bool = False) -> Moving: return Moving(self, window, window if min_periods is None else min_periods, center)
     def expanding(self, min_periods: int = 1) -> Moving: return Moving(self, None, min_periods, False)
 
@@ -149,19 +163,19 @@ class Series:
 
     # reductions: a frame of one row, or of a few
     def agg(self, *how: str) -> Frame:
-        return Frame(self.frame.df.agg(*[A.reduce(h, self.column, self.frame.order).alias(h) for h in how]))
+        return Frame(self.frame.df.agg(*[A.reduce(h, self.column, self.frame.order, kind=self._kind).alias(h) for h in how]))
 
     def __getattr__(self, name: str):
         if name in A.REDUCTIONS:
-            return lambda **kw: Frame(self.frame.df.agg(A.reduce(name, self.column, self.frame.order, **kw).alias(self.name)))
+            return lambda **kw: Frame(self.frame.df.agg(A.reduce(name, self.column, self.frame.order, kind=self._kind, **kw).alias(self.name)))
         raise AttributeError(name)
 
     def quantile(self, q=0.5) -> Frame:
         qs = q if isinstance(q, (list, tuple)) else [q]
-        return Frame(self.frame.df.select(self.column.cast("double").alias("v")).agg(F.percentile("v", F.array(*[F.lit(float(x)) for x in qs])).alias("p")).select(F.explode(F.arrays_zip(F.array(*[F.lit(float(x)) for x in qs]).alias("q"), F.col("p"))).alias("z")).select("z.q", F.col("z.p").alias(self.name)), ["q"])
+        return Frame(self.frame.df.select(self._sound.cast("double").alias("v")).agg(F.percentile("v", F.array(*[F.lit(float(x)) for x in qs])).alias("p")).select(F.explode(F.arrays_zip(F.array(*[F.lit(float(x)) for x in qs]).alias("q"), F.col("p"))).alias("z")).select("z.q", F.col("z.p").alias(self.name)), ["q"])
 
     def value_counts(self, normalize=False, dropna=True) -> Frame:
-        df = self.frame.df.select(self.column.alias(self.name))
+        df = self.frame.df.select(self._sound.alias(self.name))
         if dropna:
             df = df.where(F.col(self.name).isNotNull())
         counted = df.groupBy(self.name).agg(F.count("*").alias("count"))
@@ -170,12 +184,12 @@ class Series:
             counted = counted.join(F.broadcast(total)).select(self.name, (F.col("count") / F.col("__n")).alias("proportion"))
         return Frame(counted, [self.name])
 
-    def unique(self) -> Frame: return Frame(self.frame.df.select(self.column.alias(self.name)).distinct(), [self.name])
+    def unique(self) -> Frame: return Frame(self.frame.df.select(self._sound.alias(self.name)).distinct(), [self.name])
     def mode(self) -> Frame:
         counted = self.value_counts().df
         return Frame(counted.join(F.broadcast(counted.agg(F.max("count").alias("count"))), "count").select(self.name), [self.name])
 
-    def is_unique(self) -> Frame: return Frame(self.frame.df.agg((F.count_distinct(self.column) + F.count_if(self.column.isNull()).cast("bigint") == F.count("*")).alias("is_unique")))
+    def is_unique(self) -> Frame: return Frame(self.frame.df.agg((F.count_distinct(self._sound) + F.count_if(self._sound.isNull()).cast("bigint") == F.count("*")).alias("is_unique")))
 
     def is_monotonic(self, decreasing=False) -> Frame:
         before = F.lag(self.column).over(self.frame._window())
@@ -212,7 +226,7 @@ class Moving:
         self.series, self.least = series, least
 
     def _make(self, f: Callable[[Column], Column]) -> Series:
-        c = self.series.column
+        c = self.series._sound
         return self.series._new(F.when(F.count(c).over(self.w) >= self.least, f(c).over(self.w)))
 
     def sum(self): return self._make(F.sum)
@@ -221,10 +235,10 @@ class Moving:
     def max(self): return self._make(F.max)
     def std(self): return self._make(F.stddev_samp)
     def var(self): return self._make(F.var_samp)
-    def count(self): return self.series._new(F.count(self.series.column).over(self.w))
+    def count(self): return self.series._new(F.count(self.series._sound).over(self.w))
     def median(self): return self._make(lambda c: F.percentile(c, 0.5))
     def quantile(self, q): return self._make(lambda c: F.percentile(c, q))
-    def sem(self): return self._make(lambda c: F.stddev_samp(c)) / self.series._new(F.sqrt(F.count(self.series.column).over(self.w)))
+    def sem(self): return self._make(lambda c: F.stddev_samp(c)) / self.series._new(F.sqrt(F.count(self.series._sound).over(self.w)))
     def agg(self, name: str): return getattr(self, name)()
 
 
@@ -302,7 +316,7 @@ class Frame:
         return self._with(self.df.withColumn(name.strip(), F.expr(right.strip())))
 
     # rows
-    def query(self, condition: str) -> Frame: return self._with(self.df.where(condition.replace("==", "=").replace("!=", "<>")))
+    def query(self, condition: str) -> Frame: return self._with(self.df.where(A.condition(condition)))
     def loc(self, low=None, high=None, labels=None) -> Frame:
         """Labels of the index's first level: those listed, or a slice with both ends."""
         i = F.col(self.index[0])
@@ -315,10 +329,18 @@ class Frame:
     def iloc(self, start: int, stop: int) -> Frame: return self._with(self.df.orderBy(*self.order).offset(start).limit(max(0, stop - start)))
     def head(self, n: int = 5) -> Frame: return self._with(self.df.orderBy(*self.order).limit(n) if self.order else self.df.limit(n))
     def tail(self, n: int = 5) -> Frame: return self._with(self.df.orderBy(*[F.col(o).desc() for o in self.order]).limit(n))
-    def take(self, places: list[int]) -> Frame: return self._with(self.with_row_number("__at").df.where(F.col("__at").isin(places)).drop("__at"))
+    def take(self, places: list[int]) -> Frame:
+        """Rows by place; the order must tell rows apart.  Only the order's columns are numbered."""
+        keys = R.row_number(self.df.select(*self.order), self.order, "__at").where(F.col("__at").isin(places)).drop("__at")
+        same = [F.col(f"r.`{o}`").eqNullSafe(F.col(f"k.`{o}`")) for o in self.order]
+        return self._with(self.df.alias("r").join(F.broadcast(keys).alias("k"), same, "left_semi"))
+
     def at(self, label, column: str): return self.df.where(F.col(self.index[0]) == F.lit(label)).select(column).first()[0]
     def iat(self, row: int, column: int): return self.iloc(row, row + 1).df.select(self.columns[column]).first()[0]
-    def sample(self, frac: float, seed: int = 0) -> Frame: return self._with(self.df.sample(fraction=frac, seed=seed))
+    def sample(self, frac: float, seed: int = 0) -> Frame:
+        """Rows by a hash of their order (of all columns where there is none): the same rows however they are dealt."""
+        return self._with(self.df.where(F.pmod(F.xxhash64(*(self.order or self.columns), F.lit(seed)), F.lit(1 << 30)) < frac * (1 << 30)))
+
     def with_row_number(self, name: str) -> Frame:
         """Dense numbers from 0 in the frame's order, without one task for all rows: ranges first, then places within."""
         return self._with(R.row_number(self.df, self.order, name))
@@ -332,7 +354,7 @@ class Frame:
     def dropna(self, how: str = "any", thresh: int | None = None, subset=None) -> Frame: return self._with(self.df.dropna(how, thresh, subset))
     def fillna(self, values) -> Frame: return self._with(self.df.fillna(values))
     def replace(self, mapping: dict, columns: list[str]) -> Frame: return self._with(self.df.withColumns({c: E.replace(F.col(c), mapping) for c in columns}))
-    def isna(self, columns=None) -> Frame: return self._with(self.df.select(*self._keys(), *[F.col(c).isNull().alias(c) for c in columns or self.columns if c not in self._keys()]))
+    def isna(self, columns=None) -> Frame: return self._with(self.df.select(*self._keys(), *[A.sound_in(self.df, c).isNull().alias(c) for c in columns or self.columns if c not in self._keys()]))
     def explode(self, column: str) -> Frame: return self._with(self.df.withColumn(column, F.explode_outer(column)))
     def repeat(self, n: int) -> Frame: return self._with(self.df.withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(n)))).drop("__k"))
     def duplicated(self, subset=None, keep="first") -> Frame: return self._with(A.duplicated(self.df, subset or self.columns, self.order, keep))
@@ -384,7 +406,7 @@ class Frame:
 
     # groups and reductions
     def groupby(self, by, dropna=True, sort=True) -> GroupBy: return GroupBy(self, _names(by), dropna, sort)
-    def agg(self, spec: dict[str, object] | None = None, **named) -> Frame: return Frame(self.df.agg(*A.spec(spec, named, self.order)))
+    def agg(self, spec: dict[str, object] | None = None, **named) -> Frame: return Frame(self.df.agg(*A.spec(self.df, spec, named, self.order)))
     def corr(self, columns: list[str]) -> Frame: return Frame(R.pairs(self.df, columns, F.corr, "corr"), ["a", "b"])
     def cov(self, columns: list[str]) -> Frame: return Frame(R.pairs(self.df, columns, F.covar_samp, "cov"), ["a", "b"])
     def corrwith(self, other: str, columns: list[str]) -> Frame: return Frame(self.df.agg(*[F.corr(c, other).alias(c) for c in columns]))
@@ -420,7 +442,7 @@ class GroupBy:
         self.frame, self.by, self.sort = Frame(df, frame.order, frame.index), by, sort
 
     def agg(self, spec: dict[str, object] | None = None, **named) -> Frame:
-        out = self.frame.df.groupBy(*self.by).agg(*A.spec(spec, named, self.frame.order))
+        out = self.frame.df.groupBy(*self.by).agg(*A.spec(self.frame.df, spec, named, self.frame.order))
         return Frame(out, self.by, self.by)
 
     def size(self) -> Frame: return Frame(self.frame.df.groupBy(*self.by).agg(F.count("*").alias("size")), self.by, self.by)
@@ -429,8 +451,8 @@ class GroupBy:
             return lambda *columns: self.agg({c: name for c in columns}).rename({f"{c}_{name}": c for c in columns})
         raise AttributeError(name)
 
-    def _over(self, name: str, to: str, make: Callable) -> Frame: return self.frame._with(self.frame.df.withColumn(to, make(F.col(name), self.frame._window(self.by))))
-    def transform(self, name: str, how: str, to: str) -> Frame: return self.frame._with(self.frame.df.withColumn(to, A.reduce(how, F.col(name), self.frame.order, over=Window.partitionBy(*self.by))))
+    def _over(self, name: str, to: str, make: Callable) -> Frame: return self.frame._with(self.frame.df.withColumn(to, make(A.sound_in(self.frame.df, name), self.frame._window(self.by))))
+    def transform(self, name: str, how: str, to: str) -> Frame: return self.frame._with(self.frame.df.withColumn(to, A.reduce(how, F.col(name), self.frame.order, over=Window.partitionBy(*self.by), kind=A.kind_of(self.frame.df, name))))
     def shift(self, name: str, to: str, n: int = 1) -> Frame: return self._over(name, to, lambda c, w: F.lag(c, n).over(w))
     def diff(self, name: str, to: str, n: int = 1) -> Frame: return self._over(name, to, lambda c, w: c - F.lag(c, n).over(w))
     def _running(self, f, name, to): return self._over(name, to, lambda c, w: F.when(c.isNotNull(), f(c).over(w.rowsBetween(Window.unboundedPreceding, 0))))
@@ -444,7 +466,7 @@ class GroupBy:
 
     def ffill(self, name: str, to: str) -> Frame: return self._over(name, to, lambda c, w: F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     def bfill(self, name: str, to: str) -> Frame: return self._over(name, to, lambda c, w: F.first(c, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    def rank(self, name: str, to: str, method="average", ascending=True, pct=False) -> Frame: return self.frame._with(self.frame.df.withColumn(to, A.rank(F.col(name), self.by, method, ascending, pct, self.frame.order)))
+    def rank(self, name: str, to: str, method="average", ascending=True, pct=False) -> Frame: return self.frame._with(self.frame.df.withColumn(to, A.rank(A.sound_in(self.frame.df, name), self.by, method, ascending, pct, self.frame.order)))
     def head(self, n: int = 5) -> Frame: return self.frame._with(self.cumcount("__k").df.where(F.col("__k") < n).drop("__k"))
     def tail(self, n: int = 5) -> Frame: return self.frame._with(self.cumcount("__k", False).df.where(F.col("__k") < n).drop("__k"))
     def nth(self, n: int) -> Frame: return self.frame._with(self.cumcount("__k").df.where(F.col("__k") == n).drop("__k"))
@@ -459,3 +481,9 @@ class GroupBy:
         return self.frame._with(self.frame.df.withColumn(to, getattr(Moving(self.frame[name], None, min_periods, False, self.by), how)().column))
 
     def apply(self, f: Callable, schema: str) -> Frame: return Frame(self.frame.df.groupBy(*self.by).applyInPandas(f, schema), self.by)
+
+    @property
+    def mf(self):
+        from .operators.dataflow import GroupFlow
+
+        return GroupFlow(self)

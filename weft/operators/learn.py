@@ -215,3 +215,179 @@ def make_regression(spark, n: int, weights: list[float], noise: float = 0.0, see
     return df.withColumn("y", y)
 
 
+
+
+# ---- scores of predicted labels
+_AVERAGES = ("macro", "micro", "weighted", "binary")
+
+
+def multilabel_confusion(df: DataFrame, true: str, pred: str) -> DataFrame:
+    """(label, tn, fp, fn, tp), each label against all others."""
+    c = confusion(df, true, pred)
+    t = c.groupBy(F.col("true").alias("label")).agg(F.sum("n").alias("support"))
+    p = c.groupBy(F.col("pred").alias("label")).agg(F.sum("n").alias("predicted"))
+    hit = c.where(F.col("true") == F.col("pred")).select(F.col("true").alias("label"), F.col("n").alias("tp"))
+    total = c.agg(F.sum("n").alias("total"))
+    j = t.join(p, "label", "full").join(hit, "label", "left").fillna(0, ["support", "predicted", "tp"]).join(F.broadcast(total))
+    fp, fn = F.col("predicted") - F.col("tp"), F.col("support") - F.col("tp")
+    return j.select("label", (F.col("total") - F.col("tp") - fp - fn).alias("tn"), fp.alias("fp"), fn.alias("fn"), "tp")
+
+
+def _score(df: DataFrame, true: str, pred: str, name: str, average: str, positive, beta: float) -> DataFrame:
+    if average not in _AVERAGES:
+        raise ValueError(f"average must be one of {_AVERAGES}")
+    each = multilabel_confusion(df, true, pred)
+    if average == "binary":
+        each = each.where(F.col("label") == F.lit(positive))
+    if average == "micro":
+        each = each.agg(*[F.sum(c).alias(c) for c in ("fp", "fn", "tp")])
+    ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+    tp, fp, fn, b2 = F.col("tp"), F.col("fp"), F.col("fn"), beta * beta
+    made = {"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "fscore": ratio((1 + b2) * tp, (1 + b2) * tp + b2 * fn + fp)}[name]
+    if average == "weighted":
+        return each.agg(ratio(F.sum(made * (tp + fn)), F.sum(tp + fn)).alias(name))
+    return each.agg(F.coalesce(F.avg(made), F.lit(0.0)).alias(name))
+
+
+def precision_score(df: DataFrame, true: str, pred: str, average: str = "binary", positive=1) -> DataFrame: return _score(df, true, pred, "precision", average, positive, 1.0)
+def recall_score(df: DataFrame, true: str, pred: str, average: str = "binary", positive=1) -> DataFrame: return _score(df, true, pred, "recall", average, positive, 1.0)
+def fbeta_score(df: DataFrame, true: str, pred: str, beta: float, average: str = "binary", positive=1) -> DataFrame: return _score(df, true, pred, "fscore", average, positive, beta)
+def f1_score(df: DataFrame, true: str, pred: str, average: str = "binary", positive=1) -> DataFrame: return fbeta_score(df, true, pred, 1.0, average, positive)
+
+
+#: Scores by name, each a function of (frame, true column, predicted column).
+SCORERS = {"accuracy": accuracy_score, "r2": r2_score, "roc_auc": roc_auc_score, "neg_log_loss": lambda d, t, p: log_loss(d, t, p).select((-F.col("log_loss")).alias("neg_log_loss")), "precision": precision_score, "recall": recall_score, "f1": f1_score} | {f"{n}_{a}": (lambda d, t, p, f=f, a=a: f(d, t, p, a)) for n, f in (("precision", precision_score), ("recall", recall_score), ("f1", f1_score)) for a in ("macro", "micro", "weighted")}
+
+
+def get_scorer(name: str): return SCORERS[name]
+
+
+# ---- folds, targets, checks
+def k_fold(df: DataFrame, keys: list[str], n_splits: int = 5, seed: int = 0, to: str = "fold") -> DataFrame:
+    """Rows with the number of the fold that tests them, by a hash of their keys."""
+    return df.withColumn(to, F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(n_splits)).cast("int"))
+
+
+def unique_labels(*columns: DataFrame) -> DataFrame:
+    """Distinct labels of frames of one column each."""
+    out = None
+    for c in columns:
+        c = c.toDF("label")
+        out = c if out is None else out.union(c)
+    return out.where("label is not null").distinct()
+
+
+def type_of_target(df: DataFrame, column: str) -> str:
+    """binary, multiclass, continuous, multilabel-indicator or continuous-multioutput."""
+    kind = df.schema[column].dataType.simpleString()
+    if kind.startswith("array"):
+        fractions = df.where(F.exists(column, lambda x: x.cast("double") != F.floor(x.cast("double")))).limit(1)
+        if not fractions.isEmpty():
+            return "continuous-multioutput"
+        return "multilabel-indicator" if df.where(F.exists(column, lambda x: ~x.cast("double").isin(0.0, 1.0))).limit(1).isEmpty() else "multiclass-multioutput"
+    if kind in ("float", "double") and not df.where(F.col(column) != F.floor(column)).limit(1).isEmpty():
+        return "continuous"
+    return "binary" if df.select(column).distinct().limit(3).count() <= 2 else "multiclass"
+
+
+def is_multilabel(df: DataFrame, column: str) -> bool: return type_of_target(df, column) == "multilabel-indicator"
+def assert_all_finite(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows as they are; a NaN or an infinite value stops the job that meets it."""
+    bad = F.lit(False)
+    for c in columns:
+        bad = bad | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))
+    return df.withColumns({c: F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit("not finite")).cast("double")).otherwise(F.col(c)) for c in columns})
+
+
+def check_non_negative(df: DataFrame, columns: list[str]) -> DataFrame:
+    bad = F.lit(False)
+    for c in columns:
+        bad = bad | (F.col(c) < 0)
+    return df.withColumns({c: F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit("negative")).cast("double")).otherwise(F.col(c)) for c in columns})
+
+
+def check_consistent_length(*frames: DataFrame) -> int:
+    sizes = {f.count() for f in frames}
+    if len(sizes) > 1:
+        raise ValueError(f"frames of different lengths: {sorted(sizes)}")
+    return sizes.pop() if sizes else 0
+
+
+# ---- preprocessing and data
+def one_hot(df: DataFrame, categories: dict[str, list], to: str = "onehot") -> DataFrame:
+    """One array for all columns: a place for each category of each; unknown values set none."""
+    flags = [F.coalesce((F.col(c) == F.lit(v)).cast("double"), F.lit(0.0)) for c, values in categories.items() for v in values]
+    return df.withColumn(to, F.array(*flags))
+
+
+def categories(df: DataFrame, columns: list[str], most: int = 10_000) -> dict[str, list]:
+    """Distinct values of each column in order; more than ``most`` is an error."""
+    out = {}
+    for c in columns:
+        got = sorted(r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().limit(most + 1).collect())
+        if len(got) > most:
+            raise ValueError(f"{c} has more than {most} categories")
+        out[c] = got
+    return out
+
+
+def scale(df: DataFrame, columns: list[str], with_mean: bool = True, with_std: bool = True) -> DataFrame:
+    stats = df.agg(*[x for c in columns for x in (F.avg(c).alias(f"__m_{c}"), F.stddev_pop(c).alias(f"__s_{c}"))])
+    mean = lambda c: F.col(f"__m_{c}") if with_mean else F.lit(0.0)
+    std = lambda c: F.when(F.col(f"__s_{c}") == 0, 1.0).otherwise(F.col(f"__s_{c}")) if with_std else F.lit(1.0)
+    return df.join(F.broadcast(stats)).withColumns({c: (F.col(c) - mean(c)) / std(c) for c in columns}).drop(*stats.columns)
+
+
+def row_norms(df: DataFrame, vector: str, squared: bool = False, to: str = "norm") -> DataFrame:
+    d = _dot(F.col(vector), F.col(vector))
+    return df.withColumn(to, d if squared else F.sqrt(d))
+
+
+def truncated_svd(df: DataFrame, key: str, vector: str, d: int, k: int, to: str = "svd") -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(rows with their ``k`` components, singular values, components)."""
+    from .linalg import svd
+
+    made, s, v = svd(df, key, vector, d, k, to)
+    return made.withColumn(to, F.zip_with(to, F.array(*[F.lit(float(x)) for x in s]), lambda x, y: x * y)), s, v
+
+
+def make_classification(spark, n: int, classes: int = 2, features: int = 4, apart: float = 2.0, seed: int = 0) -> DataFrame:
+    """(id, label, x): normal clouds around the corners of a cube of side ``apart``."""
+    df = spark.range(n).withColumn("label", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(classes)).cast("int"))
+    corner = [F.when(F.col("label").bitwiseAND(1 << k) != 0, apart).otherwise(0.0) for k in range(features)]
+    return df.select("id", "label", F.array(*[c + F.randn(seed + k) for k, c in enumerate(corner)]).alias("x"))
+
+
+def make_low_rank_matrix(spark, n: int, features: int, rank: int, seed: int = 0) -> DataFrame:
+    """(id, x): rows of a matrix of ``rank`` directions."""
+    v = np.linalg.qr(np.random.default_rng(seed).normal(size=(features, rank)))[0]
+    df = spark.range(n).select("id", *[F.randn(seed + k).alias(f"u{k}") for k in range(rank)])
+    row = []
+    for j in range(features):
+        out = F.lit(0.0)
+        for k in range(rank):
+            out = out + F.col(f"u{k}") * F.lit(float(v[j, k]))
+        row.append(out)
+    return df.select("id", F.array(*row).alias("x"))
+
+
+# ---- boosted trees, grown by MLlib over distributed histograms
+def boost(df: DataFrame, features: list[str], target: str, task: str = "regression", rounds: int = 20, depth: int = 5, rate: float = 0.1, seed: int = 0):
+    """A fitted model of gradient-boosted trees; missing features are -1e308, below every value."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.regression import GBTRegressor
+
+    kind = GBTClassifier if task == "classification" else GBTRegressor
+    ready = _assembled(df, features).withColumn("__y", F.col(target).cast("double"))
+    return kind(featuresCol="__x", labelCol="__y", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed).fit(ready)
+
+
+def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
+
+    return df.withColumn("__x", array_to_vector(F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(-1e308)) for f in features])))
+
+
+def boost_predict(df: DataFrame, model, features: list[str], to: str = "prediction") -> DataFrame:
+    made = model.transform(_assembled(df, features))
+    return made.withColumn(to, F.col("prediction")).select(*df.columns, to)

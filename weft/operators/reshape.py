@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut
-from .aggregate import reduce
+from .aggregate import kind_of, reduce, sound_in
 
 
 def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
@@ -43,21 +43,21 @@ def cumulative(df: DataFrame, order: list[str], column: str, how: str, name: str
 
 def pairs(df: DataFrame, columns: list[str], f, name: str) -> DataFrame:
     """(a, b, value) of every pair of columns, one pass over the rows."""
-    made = df.agg(*[f(a, b).alias(f"{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns)])
+    made = df.agg(*[f(sound_in(df, a), sound_in(df, b)).alias(f"{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns)])
     rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{i}_{j}").alias(name)) for i, a in enumerate(columns) for j, b in enumerate(columns)])
     return made.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     hows = ["count", "mean", "std", "min", "q25", "median", "q75", "max"]
-    made = df.agg(*[reduce(h, F.col(c), []).cast("double").alias(f"{c}__{h}") for c in columns for h in hows])
+    made = df.agg(*[reduce(h, F.col(c), [], kind=kind_of(df, c)).cast("double").alias(f"{c}__{h}") for c in columns for h in hows])
     rows = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{c}__{h}").alias(h) for h in hows]) for c in columns])
     return made.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def pivot_table(df: DataFrame, index: list[str], columns: str, values: str, how: str, headings: list | None, margins: bool) -> DataFrame:
     """Without ``headings`` a job finds the distinct ones first."""
-    how_of = (lambda c: F.first(c, True)) if how == "first" else (lambda c: reduce(how, c, []))
+    how_of = (lambda c: F.first(c, True)) if how == "first" else (lambda c: reduce(how, c, [], kind=kind_of(df, values)))
     made = df.groupBy(*index).pivot(columns, headings).agg(how_of(F.col(values)))
     if margins:
         made = made.join(df.groupBy(*index).agg(how_of(F.col(values)).alias("All")), index)

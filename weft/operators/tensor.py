@@ -7,6 +7,7 @@ axes that go.  What is missing in a sparse tensor is zero.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -222,6 +223,230 @@ class Tensor:
     def norm(self) -> Tensor: return Tensor(self.df.agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("v")), 0)
 
 
+# ---- made from shapes
+def zeros(spark: SparkSession, shape: tuple[int, ...]) -> Tensor: return Tensor.full(spark, shape, 0.0)
+def ones(spark: SparkSession, shape: tuple[int, ...]) -> Tensor: return Tensor.full(spark, shape, 1.0)
+def identity(spark: SparkSession, n: int) -> Tensor: return Tensor.eye(spark, n)
+def full_like(t: Tensor, value: float) -> Tensor: return t.map(lambda v: F.lit(float(value)))
+def zeros_like(t: Tensor) -> Tensor: return full_like(t, 0.0)
+def ones_like(t: Tensor) -> Tensor: return full_like(t, 1.0)
+def scalar(spark: SparkSession, value: float) -> Tensor: return Tensor(spark.range(1).select(F.lit(float(value)).alias("v")), 0)
+def from_columns(df: DataFrame, row: str, columns: list[str]) -> Tensor:
+    """Numeric columns of a frame as a matrix: ``row`` holds places of rows."""
+    cells = F.array(*[F.struct(F.lit(k).alias("i1"), F.col(c).cast("double").alias("v")) for k, c in enumerate(columns)])
+    return Tensor(df.select(F.col(row).alias("i0"), F.explode(cells).alias("c")).select("i0", "c.i1", "c.v"), 2)
+
+
+def from_column(df: DataFrame, row: str, column: str) -> Tensor: return Tensor(df.select(F.col(row).alias("i0"), F.col(column).cast("double").alias("v")), 1)
+def to_columns(t: Tensor, names: list[str]) -> DataFrame:
+    """A matrix as a frame: a row for each i0, a column for each name."""
+    return t.df.groupBy("i0").agg(*[F.max(F.when(F.col("i1") == k, F.col("v"))).alias(n) for k, n in enumerate(names)])
+
+
+def from_dense(df: DataFrame, row: str, vector: str) -> Tensor: return Tensor(Tensor.from_vectors(df, row, vector).df.where("v <> 0"), 2)
+def indices(spark: SparkSession, shape: tuple[int, ...]) -> Tensor:
+    """The place along each axis: one more axis in front."""
+    grid = Tensor.full(spark, shape, 0.0)
+    return Tensor.stack([Tensor(grid.df.withColumn("v", F.col(a).cast("double")), grid.ndim) for a in grid.axes])
+
+
+def meshgrid(x: Tensor, y: Tensor) -> tuple[Tensor, Tensor]:
+    """Two matrices, rows by y and columns by x, of two vectors."""
+    both = x.df.select(F.col("i0").alias("i1"), F.col("v").alias("x")).crossJoin(y.df.select("i0", F.col("v").alias("y")))
+    return Tensor(both.select("i0", "i1", F.col("x").alias("v")), 2), Tensor(both.select("i0", "i1", F.col("y").alias("v")), 2)
+
+
+# ---- joined, split, with other axes
+def atleast(t: Tensor, ndim: int) -> Tensor:
+    """Axes of one place are added: in front up to two axes, the third behind."""
+    while t.ndim < min(ndim, 2):
+        t = t.expand_dims(0)
+    return t.expand_dims(2) if t.ndim < ndim else t
+
+
+def _joined(tensors: list[Tensor], axis: int, sizes: list[int]) -> Tensor:
+    out, at = tensors[0], 0
+    for t, n in zip(tensors[1:], sizes):
+        at += n
+        out = out.concat(t, axis, at)
+    return out
+
+
+def vstack(tensors: list[Tensor], sizes: list[int]) -> Tensor: return _joined([atleast(t, 2) for t in tensors], 0, sizes)
+def hstack(tensors: list[Tensor], sizes: list[int]) -> Tensor: return _joined(tensors, 0 if tensors[0].ndim == 1 else 1, sizes)
+def dstack(tensors: list[Tensor], sizes: list[int]) -> Tensor: return _joined([atleast(t, 3) for t in tensors], 2, sizes)
+def column_stack(vectors: list[Tensor]) -> Tensor: return Tensor.stack(vectors, 1)
+def array_split(t: Tensor, sections: int, axis: int, size: int) -> list[Tensor]:
+    """The first parts are one longer where the size leaves a rest."""
+    step, more = divmod(size, sections)
+    cuts = [k * step + min(k, more) for k in range(sections + 1)]
+    return [t.slice(axis, a, b) for a, b in zip(cuts, cuts[1:])]
+
+
+def vsplit(t: Tensor, sections: int, size: int) -> list[Tensor]: return t.split(sections, 0, size)
+def hsplit(t: Tensor, sections: int, size: int) -> list[Tensor]: return t.split(sections, 1 if t.ndim > 1 else 0, size)
+def dsplit(t: Tensor, sections: int, size: int) -> list[Tensor]: return t.split(sections, 2, size)
+def broadcast_to(t: Tensor, old: tuple[int, ...], new: tuple[int, ...]) -> Tensor:
+    for _ in range(len(new) - len(old)):
+        t, old = t.expand_dims(0), (1, *old)
+    for k, (a, b) in enumerate(zip(old, new)):
+        if a != b:
+            if a != 1:
+                raise ValueError(f"{old} does not broadcast to {new}")
+            t = t.tile(b, k, 1)
+    return t
+
+
+def flipud(t: Tensor, rows: int) -> Tensor: return t.flip(0, rows)
+def fliplr(t: Tensor, columns: int) -> Tensor: return t.flip(1, columns)
+def rollaxis(t: Tensor, axis: int, start: int = 0) -> Tensor: return t.moveaxis(axis, start - (start > axis))
+def flatten(t: Tensor, shape: tuple[int, ...]) -> Tensor: return t.ravel(shape)
+def ediff1d(t: Tensor) -> Tensor: return t.diff(0)
+def argwhere(t: Tensor) -> DataFrame: return t.nonzero()
+def in1d(t: Tensor, values: list[float]) -> Tensor: return t.isin(values)
+def shape(t: Tensor) -> DataFrame: return t.df.agg(*[(F.max(a) + 1).cast("bigint").alias(a) for a in t.axes])
+def copyto(to: Tensor, source: Tensor, where: Callable[[Column], Column]) -> Tensor: return to.zip(source, lambda a, b: F.when(where(b), b).otherwise(a))
+def choose(t: Tensor, choices: list[Tensor]) -> Tensor:
+    """Where ``t`` is k, the value of the k-th choice."""
+    out = t.df.withColumnRenamed("v", "__k")
+    for k, c in enumerate(choices):
+        out = out.join(c.df.withColumnRenamed("v", f"__{k}"), t.axes, "left")
+    value = F.element_at(F.array(*[F.coalesce(f"__{k}", F.lit(0.0)) for k in range(len(choices))]), F.col("__k").cast("int") + 1)
+    return Tensor(out.select(*t.axes, value.alias("v")), t.ndim)
+
+
+def unravel_index(flat: Column, shape: tuple[int, ...]) -> list[Column]:
+    out, rest = [], flat.cast("bigint")
+    for n in shape[::-1]:
+        out.append(F.pmod(rest, F.lit(n)))
+        rest = F.floor(rest / n)
+    return out[::-1]
+
+
+# ---- NaN left out
+def nan_reduce(t: Tensor, how: str, axis: int | None = None) -> Tensor: return Tensor(t.df.where("not isnan(v)"), t.ndim).reduce(how, axis)
+def nan_arg(t: Tensor, how: str, axis: int) -> Tensor: return Tensor(t.df.where("not isnan(v)"), t.ndim).arg(how, axis)
+def nan_cum(t: Tensor, how: str, axis: int) -> Tensor:
+    """A NaN counts as what changes nothing."""
+    return t.map(lambda v: F.when(F.isnan(v), F.lit({"sum": 0.0, "prod": 1.0}[how])).otherwise(v)).cum(how, axis)
+
+
+# ---- contractions and distances
+def tensordot(a: Tensor, b: Tensor, axes: tuple[list[int], list[int]]) -> Tensor:
+    """Contraction of pairs of axes: one join, and a sum with partial sums."""
+    left = a.df.select(*[F.col(x).alias(f"__k{axes[0].index(k)}" if k in axes[0] else f"__a{k}") for k, x in enumerate(a.axes)], "v")
+    right = b.df.select(*[F.col(x).alias(f"__k{axes[1].index(k)}" if k in axes[1] else f"__b{k}") for k, x in enumerate(b.axes)], F.col("v").alias("w"))
+    stay = [c for c in (*left.columns, *right.columns) if c[:3] in ("__a", "__b")]
+    df = left.join(right, [f"__k{k}" for k in range(len(axes[0]))]).groupBy(*stay).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    return Tensor(df.select(*[F.col(c).alias(f"i{k}") for k, c in enumerate(stay)], "v"), len(stay))
+
+
+def vector_norm(t: Tensor, order: float = 2, axis: int | None = None) -> Tensor:
+    if order == float("inf"):
+        return t.map(F.abs).reduce("max", axis)
+    return t.map(lambda v: F.pow(F.abs(v), F.lit(float(order)))).reduce("sum", axis).map(lambda v: F.pow(v, F.lit(1.0 / order)))
+
+
+def matrix_norm(t: Tensor, order="fro") -> Tensor:
+    """fro, or the largest sum of absolute values of a column (1) or a row (inf)."""
+    if order == "fro":
+        return t.norm()
+    return t.map(F.abs).reduce("sum", 0 if order == 1 else 1).reduce("max")
+
+
+def cdist(a: Tensor, b: Tensor, metric: str = "euclidean") -> Tensor:
+    """Distances of rows: the smaller matrix meets the other along columns, so no row travels whole."""
+    right = b.df.select(F.col("i0").alias("__j"), "i1", F.col("v").alias("w"))
+    gap = {"euclidean": F.pow(F.col("v") - F.col("w"), F.lit(2.0)), "sqeuclidean": F.pow(F.col("v") - F.col("w"), F.lit(2.0)), "cityblock": F.abs(F.col("v") - F.col("w"))}[metric]
+    made = F.sqrt(F.sum(gap)) if metric == "euclidean" else F.sum(gap)
+    df = a.df.join(right, "i1").groupBy("i0", "__j").agg(made.alias("v"))
+    return Tensor(df.select("i0", F.col("__j").alias("i1"), "v"), 2)
+
+
+def pdist(t: Tensor, n: int, metric: str = "euclidean") -> Tensor:
+    """Distances of pairs of the ``n`` rows, in the order of rows: a vector."""
+    i, j = F.col("i0").cast("bigint"), F.col("i1").cast("bigint")
+    place = i * n - F.floor(i * (i + 1) / 2) + j - i - 1
+    return Tensor(cdist(t, t, metric).df.where("i0 < i1").select(place.alias("i0"), "v"), 1)
+
+
+def squareform(t: Tensor, n: int) -> Tensor:
+    """The symmetric matrix of a vector of pairs; its diagonal is zero, so it has no cells."""
+    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(k.alias("i"), (k * n - F.floor(k * (k + 1) / 2)).alias("b"))))
+    starts = t.df.sparkSession.range(1).select(pairs.alias("p")).select("p.i", F.col("p.b").alias("b"))
+    hit = (F.col("i0") >= F.col("b")) & (F.col("i0") < F.col("b") + (n - 1) - F.col("i"))
+    cells = t.df.join(F.broadcast(starts), hit).select(F.col("i").cast("bigint").alias("x"), (F.col("i0") - F.col("b") + F.col("i") + 1).cast("bigint").alias("y"), "v")
+    return Tensor(cells.select(F.explode(F.array(F.struct(F.col("x").alias("i0"), F.col("y").alias("i1")), F.struct(F.col("y").alias("i0"), F.col("x").alias("i1")))).alias("c"), "v").select("c.i0", "c.i1", "v"), 2)
+
+
+# ---- Fourier transforms along an axis: contraction with cosines and sines
+def fft(t: Tensor, axis: int, size: int, inverse: bool = False, imag: Tensor | None = None) -> tuple[Tensor, Tensor]:
+    """(real, imaginary) parts of the transform along an axis of ``size`` places."""
+    sign, norm = (1, 1.0 / size) if inverse else (-1, 1.0)
+    a = f"i{axis}"
+    turn = F.pmod(F.col(a).cast("bigint") * F.col("__f"), F.lit(size)) * (2 * math.pi / size)
+    both = t.df.withColumnRenamed("v", "re")
+    both = both.withColumn("im", F.lit(0.0)) if imag is None else both.join(imag.df.withColumnRenamed("v", "im"), t.axes, "full").fillna(0.0, ["re", "im"])
+    wide = both.withColumn("__f", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("__t", turn)
+    stay = [c for c in t.axes if c != a]
+    re = F.sum(F.col("re") * F.cos("__t") - sign * F.col("im") * F.sin("__t")) * norm
+    im = F.sum(sign * F.col("re") * F.sin("__t") + F.col("im") * F.cos("__t")) * norm
+    made = wide.groupBy(*stay, "__f").agg(re.alias("re"), im.alias("im")).withColumnRenamed("__f", a)
+    return tuple(Tensor(made.select(*t.axes, F.col(c).alias("v")), t.ndim) for c in ("re", "im"))
+
+
+def ifft(re: Tensor, im: Tensor | None, axis: int, size: int) -> tuple[Tensor, Tensor]: return fft(re, axis, size, True, im)
+def fftn(t: Tensor, sizes: dict[int, int], inverse: bool = False, imag: Tensor | None = None) -> tuple[Tensor, Tensor]:
+    """Along several axes, {axis: size}, one after the other."""
+    re, im = t, imag
+    for axis, size in sizes.items():
+        re, im = fft(re, axis, size, inverse, im)
+    return re, im
+
+
+def fft2(t: Tensor, rows: int, columns: int) -> tuple[Tensor, Tensor]: return fftn(t, {0: rows, 1: columns})
+def ifft2(re: Tensor, im: Tensor | None, rows: int, columns: int) -> tuple[Tensor, Tensor]: return fftn(re, {0: rows, 1: columns}, True, im)
+def ifftn(re: Tensor, im: Tensor | None, sizes: dict[int, int]) -> tuple[Tensor, Tensor]: return fftn(re, sizes, True, im)
+def rfft(t: Tensor, axis: int, size: int) -> tuple[Tensor, Tensor]: return tuple(x.slice(axis, 0, size // 2 + 1) for x in fft(t, axis, size))
+def rfftn(t: Tensor, sizes: dict[int, int]) -> tuple[Tensor, Tensor]:
+    """The last axis named is the one that is halved."""
+    axis = list(sizes)[-1]
+    return tuple(x.slice(axis, 0, sizes[axis] // 2 + 1) for x in fftn(t, sizes))
+
+
+def rfft2(t: Tensor, rows: int, columns: int) -> tuple[Tensor, Tensor]: return rfftn(t, {0: rows, 1: columns})
+def _whole(re: Tensor, im: Tensor, axis: int, size: int) -> tuple[Tensor, Tensor]:
+    """The conjugate half that a real signal's transform leaves out, for one axis."""
+    a = F.col(f"i{axis}")
+    again = (a > 0) & (a < size - a)
+    parts = []
+    for t, sign in ((re, 1.0), (im, -1.0)):
+        more = t.df.where(again).withColumn(f"i{axis}", (F.lit(size) - a).cast("bigint")).withColumn("v", F.col("v") * sign)
+        parts.append(Tensor(t.df.unionByName(more), t.ndim))
+    return tuple(parts)
+
+
+def irfft(re: Tensor, im: Tensor, axis: int, size: int) -> Tensor: return fft(*((w := _whole(re, im, axis, size))[:1]), axis, size, True, w[1])[0]
+def hfft(re: Tensor, im: Tensor, axis: int, size: int) -> Tensor:
+    """Of a signal with Hermitian symmetry, given by its first half: real."""
+    return irfft(re, im.map(lambda v: -v), axis, size).map(lambda v: v * size)
+
+
+def ihfft(t: Tensor, axis: int, size: int) -> tuple[Tensor, Tensor]:
+    re, im = rfft(t, axis, size)
+    return re.map(lambda v: v / size), im.map(lambda v: -v / size)
+
+
+def fftfreq(spark: SparkSession, n: int, d: float = 1.0) -> Tensor:
+    k = F.col("id")
+    return Tensor(spark.range(n).select(k.alias("i0"), (F.when(k < (n + 1) // 2, k).otherwise(k - n) / (n * d)).alias("v")), 1)
+
+
+def rfftfreq(spark: SparkSession, n: int, d: float = 1.0) -> Tensor: return Tensor(spark.range(n // 2 + 1).select(F.col("id").alias("i0"), (F.col("id") / (n * d)).alias("v")), 1)
+def fftshift(t: Tensor, axis: int, size: int) -> Tensor: return t.roll(axis, size // 2, size)
+def ifftshift(t: Tensor, axis: int, size: int) -> Tensor: return t.roll(axis, -(size // 2), size)
+
+
 def histogram(df: DataFrame, column: str, bins: int, low: float, high: float) -> DataFrame:
     """(bin, n): the last bin holds its right end."""
     width = (high - low) / bins
@@ -235,3 +460,11 @@ def bincount(df: DataFrame, column: str, weights: str | None = None) -> DataFram
 
 def searchsorted(column: Column, edges: list[float], side: str = "left") -> Column:
     return F.aggregate(F.array(*[F.lit(float(e)) for e in edges]), F.lit(0), lambda n, e: n + (e < column if side == "left" else e <= column).cast("int"))
+
+
+def digitize(column: Column, bins: list[float], right: bool = False) -> Column:
+    """Number of the bin, 0 below the first edge; edges rise."""
+    return searchsorted(column, bins, "left" if right else "right")
+
+
+def histogram_bin_edges(low: float, high: float, bins: int) -> list[float]: return [low + k * (high - low) / bins for k in range(bins + 1)]

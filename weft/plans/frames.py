@@ -214,12 +214,12 @@ def _words(row: dict):
         yield {"word": w, "n": 1}
 
 
-def _total(group: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"word": [group.word.iloc[0]], "n": [int(group.n.sum())]})
+def _sums(batch: pd.DataFrame) -> pd.DataFrame:
+    return batch.groupby("word", as_index=False).n.sum()
 
 
 _wc = "SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) AS w FROM benchmark) GROUP BY ALL"
-query("map_reduce_word_count", _wc)(lambda get: get("benchmark").mf.map_reduce(_words, _total, ["word"], "word string, n bigint", "word string, n bigint"))
+query("map_reduce_word_count", _wc)(lambda get: get("benchmark").mf.map_reduce(lambda b: pd.DataFrame([w for t in b.text for w in _words({"text": t})], columns=["word", "n"]), _sums, ["word"], "word string, n bigint", "word string, n bigint", combiner=_sums, whole_groups=True))
 query("flatmap_word_count", _wc)(lambda get: get("benchmark").mf.flatmap(_words, "word string, n bigint").df.groupBy("word").agg(F.sum("n").alias("n")))
 query("apply_chunk", "SELECT event_id, round(value * 2, 4) AS r FROM events")(lambda get: rounded(get("events").mf.apply_chunk(lambda p: pd.DataFrame({"event_id": p.event_id, "r": p.value * 2}), "event_id bigint, r double", 500).df))
 query("cartesian_chunk", "SELECT n_nationkey, r_regionkey FROM nation, region WHERE n_nationkey % 5 <> r_regionkey")(lambda get: get("nation").mf.cartesian_chunk(get("region"), lambda a, b: a.merge(b, how="cross").query("n_nationkey % 5 != r_regionkey")[["n_nationkey", "r_regionkey"]], "n_nationkey int, r_regionkey int", 2))

@@ -59,7 +59,7 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
 
 
 def _load() -> None:
-    from . import columns, frames, learned, more  # noqa: F401
+    from . import columns, frames, learned, more, wider  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

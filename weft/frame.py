@@ -17,6 +17,7 @@ from .functions.datetimes import Dt
 from .functions.nested import Dict, List, Struct
 from .functions.strings import Str
 from .operators import aggregate as A
+from .operators import ranges as N
 from .operators import reshape as R
 
 
@@ -127,7 +128,7 @@ class Series:
 
     apply = map
 
-    # windows over the whole frame: one ordered sequence
+    # windows over the whole frame as expressions: one ordered sequence, so one task; the frame's own methods take many
     def _over(self, make: Callable[[Window], Column]) -> Series: return self._new(make(self.frame._window()))
     def shift(self, n: int = 1, fill=None): return self._over(lambda w: F.lag(self.column, n, fill).over(w))
     def diff(self, n: int = 1): return self._over(lambda w: self.column - F.lag(self.column, n).over(w))
@@ -172,7 +173,7 @@ class Series:
 
     def quantile(self, q=0.5) -> Frame:
         qs = q if isinstance(q, (list, tuple)) else [q]
-        return Frame(self.frame.df.select(self._sound.cast("double").alias("v")).agg(F.percentile("v", F.array(*[F.lit(float(x)) for x in qs])).alias("p")).select(F.explode(F.arrays_zip(F.array(*[F.lit(float(x)) for x in qs]).alias("q"), F.col("p"))).alias("z")).select("z.q", F.col("z.p").alias(self.name)), ["q"])
+        return Frame(N.quantiles(self.frame.df, self._sound, list(qs)).select("q", F.col("value").alias(self.name)), ["q"])
 
     def value_counts(self, normalize=False, dropna=True) -> Frame:
         df = self.frame.df.select(self._sound.alias(self.name))
@@ -192,14 +193,15 @@ class Series:
     def is_unique(self) -> Frame: return Frame(self.frame.df.agg((F.count_distinct(self._sound) + F.count_if(self._sound.isNull()).cast("bigint") == F.count("*")).alias("is_unique")))
 
     def is_monotonic(self, decreasing=False) -> Frame:
-        before = F.lag(self.column).over(self.frame._window())
-        bad = (self.column > before) if decreasing else (self.column < before)
-        return Frame(self.frame.df.select(bad.alias("b")).agg((F.count_if("b") == 0).alias("is_monotonic")))
+        rows = self.frame.df.select(*self.frame.order, self._sound.alias("__x"))
+        made = N.near(rows, A._ordered(self.frame.order), 1, 0, {"__y": lambda w: F.lag("__x").over(w)})
+        bad = F.col("__x") > F.col("__y") if decreasing else F.col("__x") < F.col("__y")
+        return Frame(made.agg((F.count_if(bad) == 0).alias("is_monotonic")))
 
     def nlargest(self, n: int) -> Frame: return self.to_frame().nlargest(n, self.name)
     def nsmallest(self, n: int) -> Frame: return self.to_frame().nsmallest(n, self.name)
     def describe(self) -> Frame: return self.agg("count", "mean", "std", "min", "q25", "median", "q75", "max")
-    def autocorr(self, lag: int = 1) -> Frame: return Frame(self.frame.df.select(self.column.alias("a"), F.lag(self.column, lag).over(self.frame._window()).alias("b")).agg(F.corr("a", "b").alias(self.name)))
+    def autocorr(self, lag: int = 1) -> Frame: return Frame(N.near(self.frame.df.select(*self.frame.order, self._sound.alias("__x")), A._ordered(self.frame.order), lag, 0, {"__y": lambda w: F.lag("__x", lag).over(w)}).agg(F.corr("__x", "__y").alias(self.name)))
 
 
 class Accessor:
@@ -331,7 +333,7 @@ class Frame:
     def tail(self, n: int = 5) -> Frame: return self._with(self.df.orderBy(*[F.col(o).desc() for o in self.order]).limit(n))
     def take(self, places: list[int]) -> Frame:
         """Rows by place; the order must tell rows apart.  Only the order's columns are numbered."""
-        keys = R.row_number(self.df.select(*self.order), self.order, "__at").where(F.col("__at").isin(places)).drop("__at")
+        keys = N.row_number(self.df.select(*self.order), self.order, "__at").where(F.col("__at").isin(places)).drop("__at")
         same = [F.col(f"r.`{o}`").eqNullSafe(F.col(f"k.`{o}`")) for o in self.order]
         return self._with(self.df.alias("r").join(F.broadcast(keys).alias("k"), same, "left_semi"))
 
@@ -343,11 +345,43 @@ class Frame:
 
     def with_row_number(self, name: str) -> Frame:
         """Dense numbers from 0 in the frame's order, without one task for all rows: ranges first, then places within."""
-        return self._with(R.row_number(self.df, self.order, name))
+        return self._with(N.row_number(self.df, self.order, name))
 
     def cumulative(self, column: str, how: str, to: str) -> Frame:
         """Running sum, prod, max, min or count of a column over all rows, in many tasks."""
-        return self._with(R.cumulative(self.df, self.order, column, how, to))
+        return self._with(N.cumulative(self.df, self.order, A.sound_in(self.df, column), how, to))
+
+    # windows over all rows in many tasks: columns named by the caller
+    def _near(self, column: str, before: int, after: int, to: str, make: Callable) -> Frame:
+        c = A.sound_in(self.df, column)
+        return self._with(N.near(self.df, A._ordered(self.order), before, after, {to: lambda w: make(c, w)}))
+
+    def shifted(self, column: str, to: str, n: int = 1) -> Frame: return self._near(column, max(n, 0), max(-n, 0), to, lambda c, w: F.lag(c, n).over(w))
+    def differences(self, column: str, to: str, n: int = 1) -> Frame: return self._near(column, max(n, 0), max(-n, 0), to, lambda c, w: c - F.lag(c, n).over(w))
+    def changes(self, column: str, to: str, n: int = 1) -> Frame: return self._near(column, max(n, 0), max(-n, 0), to, lambda c, w: F.try_divide(c, F.lag(c, n).over(w)) - 1)
+    def filled(self, column: str, to: str, back: bool = False) -> Frame:
+        """The last known value up to each row, or with ``back`` the first from it on."""
+        return self._with(N.running(self.df, A._ordered(self.order), A.sound_in(self.df, column), "first" if back else "last", to, back))
+
+    def ranked(self, column: str, to: str, method="average", ascending=True, pct=False) -> Frame: return self._with(N.rank(self.df, A.sound_in(self.df, column), method, ascending, pct, self.order, to))
+    def moving(self, column: str, rows: int, how: str, to: str, min_periods: int | None = None, center: bool = False) -> Frame:
+        """``how`` of the last ``rows`` rows, as ``Moving`` has it."""
+        ahead, least = (rows - 1) // 2 if center else 0, rows if min_periods is None else min_periods
+        f = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_samp, "var": F.var_samp, "count": F.count, "median": lambda c: F.percentile(c, 0.5)}[how]
+
+        def make(c: Column, w) -> Column:
+            w = w.rowsBetween(-(rows - 1 - ahead), ahead)
+            return F.when(F.count(c).over(w) >= least, f(c).over(w))
+
+        return self._near(column, rows - 1 - ahead, ahead, to, make)
+
+    def growing(self, column: str, how: str, to: str, min_periods: int = 1) -> Frame:
+        """sum, mean, min, max or count of all rows up to each."""
+        c = A.sound_in(self.df, column)
+        made = N.running(self.df, A._ordered(self.order), c, "count", "__n")
+        made = N.running(made, self.order, c, "sum" if how == "mean" else how, to) if how != "count" else made.withColumn(to, F.col("__n"))
+        value = F.col(to) / F.col("__n") if how == "mean" else F.col(to)
+        return self._with(made.withColumn(to, F.when(F.col("__n") >= min_periods, value)).drop("__n"))
 
     def where(self, condition, other=None, columns=None) -> Frame: return self._with(self.df.withColumns({c: F.when(_col(condition), F.col(c)).otherwise(_col(other)) for c in columns or self.columns}))
     def mask(self, condition, other=None, columns=None) -> Frame: return self._with(self.df.withColumns({c: F.when(_col(condition), _col(other)).otherwise(F.col(c)) for c in columns or self.columns}))

@@ -4,41 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import cut
 from .aggregate import kind_of, reduce, sound_in
-
-
-def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
-    """Rows dealt by range of the order, ``__p`` the number of the range.
-
-    Written once: two reads of a range shuffle need not draw the same bounds.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return cut(df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id()))
-
-
-def row_number(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Dense numbers from 0, without one task for all rows: numbers within ranges, and what stands before each range."""
-    ranged = _ranged(df, order)
-    local = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1)
-    # one row for each range: as many as there are shuffle partitions
-    sizes = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-    return local.join(F.broadcast(before), "__p").withColumn(name, F.col("__b") + F.col("__i")).drop("__p", "__i", "__b")
-
-
-_CUMULATE = {"sum": (F.sum, lambda a, b: a + b), "prod": (F.product, lambda a, b: a * b), "max": (F.max, F.greatest), "min": (F.min, F.least), "count": (F.count, lambda a, b: a + b)}
-
-
-def cumulative(df: DataFrame, order: list[str], column: str, how: str, name: str) -> DataFrame:
-    """Running ``how`` over all rows in order, without one task for all: within ranges, and what earlier ranges give."""
-    f, join = _CUMULATE[how]
-    ranged = _ranged(df, order)
-    local = ranged.withColumn("__c", f(column).over(Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    whole = ranged.groupBy("__p").agg(f(column).alias("__t"))
-    before = whole.select("__p", f("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)).alias("__b") if how != "count" else F.sum("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)).alias("__b"))
-    made = F.when(F.col("__b").isNull(), F.col("__c")).when(F.col("__c").isNull(), F.col("__b")).otherwise(join(F.col("__b"), F.col("__c")))
-    return local.join(F.broadcast(before), "__p").withColumn(name, F.when(F.col(column).isNotNull(), made)).drop("__p", "__c", "__b")
+from .ranges import quantiles, row_number
 
 
 def pairs(df: DataFrame, columns: list[str], f, name: str) -> DataFrame:
@@ -49,8 +16,13 @@ def pairs(df: DataFrame, columns: list[str], f, name: str) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Quantiles from counts of values in order, each column in its turn; all else in one pass."""
     hows = ["count", "mean", "std", "min", "q25", "median", "q75", "max"]
-    made = df.agg(*[reduce(h, F.col(c), [], kind=kind_of(df, c)).cast("double").alias(f"{c}__{h}") for c in columns for h in hows])
+    some = [h for h in hows if h not in ("q25", "median", "q75")]
+    made = df.agg(*[reduce(h, F.col(c), [], kind=kind_of(df, c)).cast("double").alias(f"{c}__{h}") for c in columns for h in some])
+    for c in columns:
+        q = quantiles(df, sound_in(df, c), [0.25, 0.5, 0.75])
+        made = made.join(F.broadcast(q.agg(*[F.max(F.when(F.col("q") == x, F.col("value"))).alias(f"{c}__{h}") for x, h in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))])))
     rows = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{c}__{h}").alias(h) for h in hows]) for c in columns])
     return made.select(F.explode(rows).alias("r")).select("r.*")
 
@@ -84,7 +56,7 @@ def factorize(df: DataFrame, column: str, name: str, order: list[str]) -> DataFr
 
 def qcut(df: DataFrame, column: str, q: int, name: str) -> DataFrame:
     """Number, from 0, of the quantile bucket, right-closed with the least value included."""
-    edges = df.agg(F.percentile(F.col(column).cast("double"), F.array(*[F.lit(k / q) for k in range(q + 1)])).alias("__e"))
+    edges = quantiles(df, sound_in(df, column), [k / q for k in range(q + 1)]).agg(F.transform(F.array_sort(F.collect_list(F.struct("q", "value"))), lambda x: x["value"]).alias("__e"))
     bucket = F.aggregate(F.sequence(F.lit(1), F.lit(q - 1)), F.lit(0), lambda n, k: n + F.when(F.col(column) > F.get("__e", k), 1).otherwise(0))
     return df.join(F.broadcast(edges)).withColumn(name, F.when(F.col(column).isNotNull(), bucket)).drop("__e")
 

@@ -57,32 +57,37 @@ query("is_unique", "SELECT count(DISTINCT o_custkey) = count(*) AS is_unique FRO
 query("is_monotonic", "SELECT true AS is_monotonic")(lambda get: get("events")["event_id"].is_monotonic())
 
 # ---- windows over rows in order (events by event_id)
+_known = lambda f: f.assign(x=f["value"].where(f["value"] > 20))
 for name, sql, make in [
-    ("shift", "lag(value, 2) OVER w", lambda f: f["value"].shift(2)),
-    ("diff", "value - lag(value) OVER w", lambda f: f["value"].diff()),
-    ("pct_change", "value / nullif(lag(value) OVER w, 0) - 1", lambda f: f["value"].pct_change()),
-    ("cumsum", "sum(value) OVER w", lambda f: f["value"].cumsum()),
-    ("cummax", "max(value) OVER w", lambda f: f["value"].cummax()),
-    ("cummin", "min(value) OVER w", lambda f: f["value"].cummin()),
-    ("cumcount", "row_number() OVER w - 1", lambda f: f["value"].cumcount()),
-    ("ffill", "last_value(CASE WHEN value > 20 THEN value END IGNORE NULLS) OVER w", lambda f: f["value"].where(f["value"] > 20).ffill()),
-    ("bfill", "first_value(CASE WHEN value > 20 THEN value END IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)", lambda f: f["value"].where(f["value"] > 20).bfill()),
-    ("rank_average", "rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0", lambda f: f["value"].rank()),
-    ("rank_dense_desc", "dense_rank() OVER (ORDER BY value DESC)", lambda f: f["value"].rank("dense", ascending=False)),
-    ("rank_max", "rank() OVER (ORDER BY value) + count(*) OVER (PARTITION BY value) - 1", lambda f: f["value"].rank("max")),
-    ("rank_first", "row_number() OVER (ORDER BY value, event_id)", lambda f: f["value"].rank("first")),
-    ("rank_pct", "rank() OVER (ORDER BY value) / (SELECT count(*) FROM events)::DOUBLE", lambda f: f["value"].rank("min", pct=True)),
-    ("argsort", "row_number() OVER (ORDER BY value, event_id) - 1", lambda f: f["value"].rank("first") - 1),
+    ("shift", "lag(value, 2) OVER w", lambda f: f.shifted("value", "r", 2)),
+    ("shift_back", "lead(value, 3) OVER w", lambda f: f.shifted("value", "r", -3)),
+    ("diff", "value - lag(value) OVER w", lambda f: f.differences("value", "r")),
+    ("pct_change", "value / nullif(lag(value) OVER w, 0) - 1", lambda f: f.changes("value", "r")),
+    ("cumsum", "sum(value) OVER w", lambda f: f.cumulative("value", "sum", "r")),
+    ("cummax", "max(value) OVER w", lambda f: f.cumulative("value", "max", "r")),
+    ("cummin", "min(value) OVER w", lambda f: f.cumulative("value", "min", "r")),
+    ("cumcount", "row_number() OVER w - 1", lambda f: f.with_row_number("r")),
+    ("ffill", "last_value(CASE WHEN value > 20 THEN value END IGNORE NULLS) OVER w", lambda f: _known(f).filled("x", "r")),
+    ("bfill", "first_value(CASE WHEN value > 20 THEN value END IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)", lambda f: _known(f).filled("x", "r", True)),
+    ("rank_average", "rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0", lambda f: f.ranked("value", "r")),
+    ("rank_dense_desc", "dense_rank() OVER (ORDER BY value DESC)", lambda f: f.ranked("value", "r", "dense", ascending=False)),
+    ("rank_max", "rank() OVER (ORDER BY value) + count(*) OVER (PARTITION BY value) - 1", lambda f: f.ranked("value", "r", "max")),
+    ("rank_first", "row_number() OVER (ORDER BY value, event_id)", lambda f: f.ranked("value", "r", "first")),
+    ("rank_first_desc", "row_number() OVER (ORDER BY value DESC, event_id)", lambda f: f.ranked("value", "r", "first", ascending=False)),
+    ("rank_missing", "CASE WHEN value > 20 THEN rank() OVER (ORDER BY CASE WHEN value > 20 THEN value END NULLS LAST) END", lambda f: _known(f).ranked("x", "r", "min")),
+    ("rank_pct", "rank() OVER (ORDER BY value) / (SELECT count(*) FROM events)::DOUBLE", lambda f: f.ranked("value", "r", "min", pct=True)),
+    ("argsort", "row_number() OVER (ORDER BY value, event_id) - 1", lambda f: f.ranked("value", "r", "first").assign(r=F.col("r") - 1)),
 ]:
-    query(f"window_{name}", f"SELECT event_id, round(CAST({sql} AS DOUBLE), 7) AS r FROM events WINDOW w AS (ORDER BY event_id)")(lambda get, make=make: (lambda f: f.df.select("event_id", F.round(make(f).column.cast("double"), 7).alias("r")))(get("events")))
+    query(f"window_{name}", f"SELECT event_id, round(CAST({sql} AS DOUBLE), 7) AS r FROM events WINDOW w AS (ORDER BY event_id)")(lambda get, make=make: make(get("events")[["event_id", "value"]]).df.select("event_id", F.round(F.col("r").cast("double"), 7).alias("r")))
 ROLL = {"sum": "sum(value)", "mean": "avg(value)", "min": "min(value)", "max": "max(value)", "std": "stddev_samp(value)", "var": "var_samp(value)", "median": "median(value)"}
 for how, sql in ROLL.items():
-    query(f"rolling_{how}", f"SELECT event_id, CASE WHEN count(value) OVER w >= 5 THEN round({sql} OVER w, 7) END AS r FROM events WINDOW w AS (ORDER BY event_id ROWS 4 PRECEDING)")(lambda get, how=how: (lambda f: f.df.select("event_id", F.round(f["value"].rolling(5).agg(how).column, 7).alias("r")))(get("events")))
+    query(f"rolling_{how}", f"SELECT event_id, CASE WHEN count(value) OVER w >= 5 THEN round({sql} OVER w, 7) END AS r FROM events WINDOW w AS (ORDER BY event_id ROWS 4 PRECEDING)")(lambda get, how=how: rounded(get("events")[["event_id", "value"]].moving("value", 5, how, "r").df.select("event_id", "r"), 7))
     if how != "median":
         query(f"groupby_rolling_{how}", f"SELECT event_id, CASE WHEN count(value) OVER w >= 2 THEN round({sql} OVER w, 7) END AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS 3 PRECEDING)")(lambda get, how=how: rounded(get("events").groupby("user_id").rolling("value", 4, how, "r", 2).df.select("event_id", "r"), 7))
         query(f"groupby_expanding_{how}", f"SELECT event_id, CASE WHEN count(value) OVER w >= 3 THEN round({sql} OVER w, 9) END AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")(lambda get, how=how: rounded(get("events").groupby("user_id").expanding("value", how, "r", 3).df.select("event_id", "r"), 9))
-query("rolling_center", "SELECT event_id, round(sum(value) OVER (ORDER BY event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 7) AS r FROM events")(lambda get: (lambda f: f.df.select("event_id", F.round(f["value"].rolling(3, 1, center=True).sum().column, 7).alias("r")))(get("events")))
-query("expanding_mean", "SELECT event_id, round(avg(value) OVER (ORDER BY event_id) + 1e-6, 4) AS r FROM events")(lambda get: (lambda f: f.df.select("event_id", F.round(f["value"].expanding().mean().column + 1e-6, 4).alias("r")))(get("events")))
+query("rolling_center", "SELECT event_id, round(sum(value) OVER (ORDER BY event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 7) AS r FROM events")(lambda get: rounded(get("events")[["event_id", "value"]].moving("value", 3, "sum", "r", 1, True).df.select("event_id", "r"), 7))
+query("expanding_mean", "SELECT event_id, round(avg(value) OVER (ORDER BY event_id) + 1e-6, 4) AS r FROM events")(lambda get: rounded(get("events")[["event_id", "value"]].growing("value", "mean", "r").df.select("event_id", (F.col("r") + 1e-6).alias("r"))))
+query("series_shift_expression", "SELECT event_id, lag(value, 2) OVER (ORDER BY event_id) AS r FROM events")(lambda get: (lambda f: f.df.select("event_id", f["value"].shift(2).column.alias("r")))(get("events")))
 query("ewm_mean", "WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) SELECT a.event_id, round(sum(b.value * pow(0.5, a.k - b.k)) / sum(pow(0.5, a.k - b.k)), 6) AS r FROM e a JOIN e b ON a.user_id = b.user_id AND b.k <= a.k GROUP BY ALL")(lambda get: rounded(get("events")[["event_id", "user_id", "value"]].ewm("value", 0.5, ["user_id"], "r").df.select("event_id", "r"), 6))
 
 # ---- windows within groups (events by user_id)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,9 +42,31 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+_FOLDERS: dict[str, str] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder: its plan starts anew from there."""
+    """``df`` written once to the shared folder as Parquet: its plan starts anew from there.
+
+    The folder is ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode
+    and an error elsewhere.  What was written goes when the program ends.
+    """
     context = df.sparkSession.sparkContext
-    if not (context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="weft-checkpoints-"))
-    return df.checkpoint()
+    key = context.applicationId
+    if key not in _FOLDERS:
+        base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+        if not base:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            base = tempfile.mkdtemp(prefix="weft-checkpoints-")
+            context.setCheckpointDir(base)
+        _FOLDERS[key] = f"{base.rstrip('/')}/weft-{uuid.uuid4().hex}"
+        atexit.register(_forget, context._jvm.org.apache.hadoop.fs.Path(_FOLDERS[key]), context._jsc.hadoopConfiguration())
+    path = f"{_FOLDERS[key]}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _forget(path, configuration) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        path.getFileSystem(configuration).delete(path, True)

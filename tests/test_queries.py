@@ -11,8 +11,6 @@ from weft.plans import registry
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SQL = registry.oracle_sql()
-#: These name the row counts of sf0.01 in their shape.
-ONLY_LARGER = {"tensor_reshape"}
 
 
 @pytest.fixture(scope="module")
@@ -41,7 +39,7 @@ def rows(columns, values):
     return [columns[k] for k in order], sorted(tuple(plain(v[k]) for k in order) for v in values)
 
 
-@pytest.mark.parametrize("name", sorted(set(SQL) - ONLY_LARGER))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_sql(spark, duck, name):
     got = registry.queries()[name](spark, DATA)
     want = duck.execute(SQL[name])

@@ -125,8 +125,10 @@ query("merge_left", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders
 query("merge_right", "SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_acctbal > 5000) RIGHT JOIN orders ON c_custkey = o_custkey")(lambda get: get("customer").query("c_acctbal > 5000").merge(get("orders"), left_on="c_custkey", right_on="o_custkey", how="right")[["c_custkey", "o_orderkey"]])
 query("merge_outer_indicator", "SELECT c_custkey, s_suppkey, CASE WHEN c_custkey IS NULL THEN 'right_only' WHEN s_suppkey IS NULL THEN 'left_only' ELSE 'both' END AS _merge FROM (SELECT * FROM customer WHERE c_custkey >= 50) FULL JOIN supplier ON c_custkey = s_suppkey")(lambda get: get("customer").query("c_custkey >= 50").merge(get("supplier"), left_on="c_custkey", right_on="s_suppkey", how="outer", indicator=True)[["c_custkey", "s_suppkey", "_merge"]])
 query("merge_on_suffixes", "SELECT a.k, a.o_orderkey AS o_orderkey_x, b.o_orderkey AS o_orderkey_y FROM (SELECT o_custkey AS k, o_orderkey FROM orders WHERE o_orderstatus = 'F') a JOIN (SELECT o_custkey AS k, o_orderkey FROM orders WHERE o_orderstatus = 'P') b USING (k)")(lambda get: (lambda o: o.query("o_orderstatus == 'F'")[["k", "o_orderkey"]].merge(o.query("o_orderstatus == 'P'")[["k", "o_orderkey"]], on="k"))(get("orders").rename({"o_custkey": "k"})))
-query("merge_missing_keys", "SELECT a.p_partkey AS x, b.p_partkey AS y FROM (SELECT p_partkey, nullif(p_size % 50, 0) AS k FROM part WHERE p_size % 50 < 2) a JOIN (SELECT p_partkey, nullif(p_size % 50, 0) AS k FROM part WHERE p_brand = 'Brand#1') b ON a.k IS NOT DISTINCT FROM b.k")(lambda get: (lambda p: p.df.where("p_size % 50 < 2").select(F.col("p_partkey").alias("x"), "k").transform(lambda a: J.merge(a, p.df.where("p_brand = 'Brand#1'").select(F.col("p_partkey").alias("y"), "k"), "k")).drop("k"))(get("part").assign(k=F.expr("nullif(p_size % 50, 0)"))))
-query("merge_missing_keys_whole")(lambda get: (lambda p: J.merge(p.df.select(F.col("p_partkey").alias("x"), "k"), p.df.select(F.col("p_partkey").alias("y"), "k"), "k").drop("k"))(get("part").assign(k=F.expr("nullif(p_size % 50, 0)"))))
+
+_keys_alike = "SELECT a.p_partkey AS x, b.p_partkey AS y FROM (SELECT p_partkey, nullif(p_size % 50, 0) AS k FROM part) a JOIN (SELECT p_partkey, nullif(p_size % 50, 0) AS k FROM part) b ON a.k IS NOT DISTINCT FROM b.k"
+for _name in ("merge_missing_keys", "merge_missing_keys_whole"):
+    query(_name, _keys_alike)(lambda get: (lambda p: J.merge(p.df.select(F.col("p_partkey").alias("x"), "k"), p.df.select(F.col("p_partkey").alias("y"), "k"), "k").drop("k"))(get("part").assign(k=F.expr("nullif(p_size % 50, 0)"))))
 query("merge_semi", f"SELECT {C} FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")(lambda get: get("customer").merge(get("orders").query("o_totalprice > 400000"), left_on="c_custkey", right_on="o_custkey", how="semi")[["c_custkey", "c_name"]])
 query("merge_anti", f"SELECT {C} FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")(lambda get: get("customer").merge(get("orders"), left_on="c_custkey", right_on="o_custkey", how="anti")[["c_custkey", "c_name"]])
 query("join_index", "SELECT k, n, total FROM (SELECT user_id AS k, count(*) AS n FROM events GROUP BY ALL) LEFT JOIN (SELECT o_custkey AS k, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ALL) USING (k)")(lambda get: rounded(get("events").rename({"user_id": "k"}).groupby("k").agg(n=("event_id", "size")).join(get("orders").rename({"o_custkey": "k"}).groupby("k").agg(total=("o_totalprice", "sum"))).df, 2))

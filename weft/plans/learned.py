@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import functions as F
 
 from ..operators import learn as M
 from ..operators import tensor as X
 from ..operators.tensor import Tensor
+from ..session import shared_path
 from ..sources import readers, writers
 from .registry import query, rounded
 
@@ -29,28 +29,31 @@ for metric, sql in {"euclidean": "list_distance({a}, {b})", "cosine": "1 - list_
 query("learn_pairwise_manhattan", "SELECT q.vec_id AS query, e.vec_id AS key, round((SELECT sum(abs(x - y)) FROM (SELECT unnest(CAST(q.embedding AS DOUBLE[])) AS x, unnest(CAST(e.embedding AS DOUBLE[])) AS y)), 6) AS distance FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0")(lambda get: rounded(M.pairwise_distances(get("embeddings").df.where("vec_id % 50 = 0"), get("embeddings").df, "vec_id", "embedding", "manhattan"), 6))
 query("learn_pairwise_topk", "SELECT query, key, rank FROM (SELECT q.vec_id AS query, e.vec_id AS key, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), e.vec_id) AS INT) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id) WHERE rank <= 5")(lambda get: M.pairwise_topk(get("embeddings").df.where("vec_id % 50 = 0"), get("embeddings").df, "vec_id", "embedding", 5).select("query", "key", "rank"))
 query("learn_haversine", "SELECT o_orderkey, round(2 * asin(sqrt(pow(sin((o_custkey / 1000.0 - 0.5) / 2), 2) + cos(0.5) * cos(o_custkey / 1000.0) * pow(sin((o_orderkey / 10000.0 - 0.1) / 2), 2))), 8) AS d FROM orders")(lambda get: get("orders").df.select("o_orderkey", F.round(M.haversine(F.lit(0.5), F.lit(0.1), F.col("o_custkey") / 1000, F.col("o_orderkey") / 10000), 8).alias("d")))
-query("learn_normalize", "SELECT vec_id, round(embedding[1] / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS x FROM embeddings")(lambda get: M.normalize(get("embeddings").df, "embedding").select("vec_id", F.round(F.get("embedding", 0), 6).alias("x")))
+query("learn_normalize", "SELECT vec_id, CAST(unnest(range(64)) AS INT) AS k, round(CAST(unnest(embedding) AS DOUBLE) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS x FROM embeddings")(lambda get: rounded(M.normalize(get("embeddings").df, "embedding").select("vec_id", F.posexplode("embedding").alias("k", "x")), 6))
 query("learn_standard_scale", "SELECT o_orderkey, round((o_totalprice - (SELECT avg(o_totalprice) FROM orders)) / (SELECT stddev_pop(o_totalprice) FROM orders), 7) AS o_totalprice FROM orders")(lambda get: rounded(M.standard_scale(get("orders").df.select("o_orderkey", "o_totalprice"), ["o_totalprice"]), 7))
 query("learn_minmax_scale", "SELECT o_orderkey, round((o_totalprice - (SELECT min(o_totalprice) FROM orders)) / (SELECT max(o_totalprice) - min(o_totalprice) FROM orders), 8) AS o_totalprice FROM orders")(lambda get: rounded(M.minmax_scale(get("orders").df.select("o_orderkey", "o_totalprice"), ["o_totalprice"]), 8))
 query("learn_label_encode", "SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INT) AS code FROM orders")(lambda get: M.label_encode(get("orders").df, "o_orderpriority").select("o_orderkey", "code"))
-query("learn_label_binarize", "SELECT o_orderkey, CAST(o_orderstatus = 'O' AS INT) AS is_open FROM orders")(lambda get: M.label_binarize(get("orders").df, "o_orderstatus", ["F", "O", "P"]).select("o_orderkey", F.get("onehot", 1).alias("is_open")))
+query("learn_label_binarize", "SELECT o_orderkey, CAST(o_orderstatus = 'F' AS INT) AS f, CAST(o_orderstatus = 'O' AS INT) AS o, CAST(o_orderstatus = 'P' AS INT) AS p FROM orders")(lambda get: M.label_binarize(get("orders").df, "o_orderstatus", ["F", "O", "P"]).select("o_orderkey", *[F.get("onehot", k).alias(c) for k, c in enumerate("fop")]))
 query("learn_train_test_split")(lambda get: M.train_test_split(get("orders").df, ["o_orderkey"])[1].select("o_orderkey"))
 query("learn_shuffle", "SELECT o_orderkey FROM orders")(lambda get: M.shuffle(get("orders").df, ["o_orderkey"]).select("o_orderkey"))
 query("learn_k_means")(lambda get: M.k_means(get("embeddings").df, "embedding", 10)[0].select("vec_id", "cluster"))
 query("learn_linear_regression", "SELECT o_orderkey, round(regr_intercept(o_totalprice, o_custkey) OVER () + regr_slope(o_totalprice, o_custkey) OVER () * o_custkey, 2) AS prediction FROM orders")(lambda get: (lambda d: rounded(M.linear_predict(d, ["o_custkey"], M.linear_fit(d, ["o_custkey"], "o_totalprice")).select("o_orderkey", "prediction"), 2))(get("orders").df))
 query("learn_logistic_regression")(lambda get: (lambda d: M.linear_predict(d, ["s"], M.logistic_fit(d, ["s"], "y")).select("s", "prediction").distinct())(_pred(get)))
-query("learn_connected_components", "WITH RECURSIVE e AS (SELECT DISTINCT c_custkey % 200 AS a, (c_custkey * 7) % 200 AS b FROM customer WHERE c_custkey % 5 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(x, y) AS (SELECT a, b FROM u UNION SELECT r.x, u.b FROM r JOIN u ON r.y = u.a) SELECT x AS id, min(least(x, y)) AS component FROM r GROUP BY x HAVING x <> min(least(x, y))")(lambda get: M.connected_components(get("customer").df.where("c_custkey % 5 = 0").selectExpr("c_custkey % 200 as a", "(c_custkey * 7) % 200 as b"), max_iter=20)[0])
+
 
 
 def _whole_components(get):
-    """All customers, ids as they are; recursive SQL is too slow for it."""
+    """All customers, ids as they are."""
     found, done = M.connected_components(get("customer").df.selectExpr("c_custkey as a", "c_custkey * 7 as b"), max_iter=100)
     if not done:
         raise RuntimeError("components not settled")
     return found
 
 
-query("learn_connected_components_whole")(_whole_components)
+# the root of a number is what is left when sevens are taken out while that gives a customer
+_ROOTS = "WITH RECURSIVE n AS (SELECT c_custkey AS id FROM customer UNION SELECT c_custkey * 7 FROM customer), r(id, c) AS (SELECT id, id FROM n UNION ALL SELECT r.id, r.c // 7 FROM r JOIN customer ON c_custkey = r.c // 7 WHERE r.c % 7 = 0 AND r.c > 0) SELECT id, min(c) AS component FROM r GROUP BY id HAVING min(c) <> id"
+query("learn_connected_components", _ROOTS)(_whole_components)
+query("learn_connected_components_whole", _ROOTS)(_whole_components)
 
 # ---- arrays: rows of embeddings as a matrix
 _T = lambda get: Tensor.from_vectors(get("embeddings").df, "vec_id", "embedding")
@@ -76,7 +79,7 @@ for name, make, sql in [
     ("concat", lambda t: t.concat(t, 1, 64), f"SELECT i0, i1, round(v, 6) AS v FROM {_M} UNION ALL SELECT i0, i1 + 64, round(v, 6) FROM {_M}"),
 ]:
     query(f"tensor_{name}", sql)(lambda get, make=make: rounded(make(_T(get)).df, 6))
-query("tensor_reshape", f"SELECT i0 * 2 + i1 // 32 AS i0, i1 % 32 AS i1, round(v, 6) AS v FROM {_M}")(lambda get: rounded(_T(get).reshape((500, 64), (1000, 32)).df, 6))
+query("tensor_reshape", f"SELECT i0 * 2 + i1 // 32 AS i0, i1 % 32 AS i1, round(v, 6) AS v FROM {_M}")(lambda get: (lambda n: rounded(_T(get).reshape((n, 64), (2 * n, 32)).df, 6))(get("embeddings").df.count()))
 query("tensor_histogram", "SELECT CAST(least(floor(value / 10), 9) AS BIGINT) AS bin, count(*) AS n FROM events WHERE value BETWEEN 0 AND 100 GROUP BY ALL")(lambda get: X.histogram(get("events").df, "value", 10, 0, 100))
 query("tensor_bincount", "SELECT CAST(p_size AS BIGINT) AS k, count(*) AS n FROM part GROUP BY ALL")(lambda get: X.bincount(get("part").df, "p_size"))
 query("tensor_searchsorted", "SELECT event_id, CAST(value > 5 AS INT) + CAST(value > 20 AS INT) + CAST(value > 50 AS INT) AS r FROM events")(lambda get: get("events").df.select("event_id", X.searchsorted(F.col("value"), [5, 20, 50]).alias("r")))
@@ -86,8 +89,8 @@ query("tensor_arange_linspace", "SELECT range AS i0, round(range / 99.0, 8) AS v
 # ---- sources and sinks: written, read again
 def _round_trip(write, read):
     def run(get):
-        path = tempfile.mkdtemp(prefix="weft-io-") + "/t"
         df = get("orders").df.select("o_orderkey", "o_orderstatus", "o_totalprice")
+        path = shared_path(df.sparkSession)
         write(df, path)
         return read(df.sparkSession, path)
 

@@ -16,8 +16,8 @@ _T = lambda get: Tensor.from_vectors(get("embeddings").df, "vec_id", "embedding"
 _M = "(SELECT vec_id AS i0, CAST(unnest(range(64)) AS INT) AS i1, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
 query("tensor_einsum", f"SELECT a.i1 AS i0, round(sum(a.v * b.v), 6) AS v FROM {_M} a JOIN (SELECT vec_id AS i0, CAST(label AS DOUBLE) AS v FROM embeddings) b USING (i0) GROUP BY a.i1")(lambda get: rounded(N.einsum("ij,i->j", _T(get), Tensor(get("embeddings").df.selectExpr("vec_id as i0", "cast(label as double) as v"), 1)).df, 6))
 query("tensor_outer", "SELECT a.n_nationkey AS i0, b.n_nationkey AS i1, CAST(a.n_regionkey * b.n_regionkey AS DOUBLE) AS v FROM nation a, nation b")(lambda get: (lambda t: N.outer(t, t).df)(Tensor(get("nation").df.selectExpr("n_nationkey as i0", "cast(n_regionkey as double) as v"), 1)))
-query("tensor_sort_rows", "SELECT vec_id, list_sort(CAST(embedding AS DOUBLE[]))[1] AS low, list_sort(CAST(embedding AS DOUBLE[]))[64] AS high FROM embeddings")(lambda get: get("embeddings").df.withColumn("s", F.array_sort(F.transform("embedding", lambda x: x.cast("double")))).select("vec_id", F.get("s", 0).alias("low"), F.get("s", 63).alias("high")))
-query("tensor_fft_power", "SELECT vec_id, round(list_sum(CAST(embedding AS DOUBLE[])), 5) AS mean_term FROM embeddings")(lambda get: get("embeddings").df.select("vec_id", F.round(F.get(N.row_fft(F.col("embedding")), 0), 5).alias("mean_term")))
+query("tensor_sort_rows", "SELECT vec_id, CAST(unnest(range(64)) AS INT) AS k, unnest(list_sort(CAST(embedding AS DOUBLE[]))) AS v FROM embeddings")(lambda get: get("embeddings").df.select("vec_id", F.posexplode(F.array_sort(F.transform("embedding", lambda x: x.cast("double")))).alias("k", "v")))
+query("tensor_fft_power", "SELECT vec_id, CAST(f AS BIGINT) AS f, round(pow(sum(v * cos(2 * pi() * k * f / 64)), 2) + pow(sum(v * sin(2 * pi() * k * f / 64)), 2), 4) AS power FROM (SELECT vec_id, unnest(range(64)) AS k, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), (SELECT unnest(range(64)) AS f) GROUP BY ALL")(lambda get: rounded(get("embeddings").df.select("vec_id", N.row_fft(F.col("embedding")).alias("z")).select("vec_id", F.posexplode("z").alias("p", "x")).groupBy("vec_id", F.floor(F.col("p") / 2).alias("f")).agg(F.sum(F.col("x") * F.col("x")).alias("power"))))
 query("linalg_svd")(lambda get: N.svd(get("embeddings").df.select("vec_id", "embedding"), "vec_id", "embedding", 64, 3)[0].select("vec_id", "u"))
 query("linalg_qr")(lambda get: N.qr(get("embeddings").df.select("vec_id", "embedding"), "vec_id", "embedding", 64)[0].select("vec_id", "q"))
 query("linalg_pca")(lambda get: N.pca(get("embeddings").df.select("vec_id", "embedding"), "vec_id", "embedding", 64, 3)[0].select("vec_id", "pc"))
@@ -40,7 +40,7 @@ for name, make, sql in [
     ("gammaln", lambda c: U.special("gammaln")(c / 10 + 1), "lgamma(value / 10 + 1)"), ("gamma", lambda c: U.special("gamma")(c / 1000 + 1), "gamma(value / 1000 + 1)"), ("complex_abs", lambda c: U.absolute(U.complex_(c, F.lit(3.0))), "sqrt(value * value + 9)"), ("complex_angle", lambda c: U.angle(U.conj(U.complex_(c, F.lit(3.0)))), "atan2(-3.0, value)"),
 ]:
     query(f"numeric_{name}", f"SELECT event_id, round(CAST({sql} AS DOUBLE), 6) + 0.0 AS r FROM events")(lambda get, make=make: get("events").df.select("event_id", (F.round(make(F.col("value")).cast("double"), 6) + F.lit(0.0)).alias("r")))
-query("numeric_softmax", "SELECT vec_id, round(exp(embedding[1]::DOUBLE) / (SELECT sum(exp(x::DOUBLE)) FROM (SELECT unnest(embedding) AS x)), 8) AS r FROM embeddings")(lambda get: get("embeddings").df.select("vec_id", F.round(F.get(U.softmax(F.col("embedding")), 0), 8).alias("r")))
+query("numeric_softmax", "SELECT vec_id, CAST(unnest(range(64)) AS INT) AS k, round(exp(CAST(unnest(embedding) AS DOUBLE)) / (SELECT sum(exp(x::DOUBLE)) FROM (SELECT unnest(embedding) AS x)), 8) AS r FROM embeddings")(lambda get: rounded(get("embeddings").df.select("vec_id", F.posexplode(U.softmax(F.col("embedding"))).alias("k", "r")), 8))
 for name, make, sql in [
     ("sort", lambda t: t.sort(1), f"SELECT i0, row_number() OVER (PARTITION BY i0 ORDER BY v) - 1 AS i1, round(v, 6) AS v FROM {_M}"),
     ("argsort", lambda t: t.argsort(1), f"SELECT i0, row_number() OVER (PARTITION BY i0 ORDER BY v, i1) - 1 AS i1, CAST(i1 AS DOUBLE) AS v FROM {_M}"),

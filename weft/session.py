@@ -45,13 +45,13 @@ def ship(spark: SparkSession) -> None:
 _FOLDERS: dict[str, str] = {}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder as Parquet: its plan starts anew from there.
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the folder that the driver and all executors share; what is there goes when the program ends.
 
     The folder is ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode
-    and an error elsewhere.  What was written goes when the program ends.
+    and an error elsewhere.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     key = context.applicationId
     if key not in _FOLDERS:
         base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
@@ -62,7 +62,12 @@ def cut(df: DataFrame) -> DataFrame:
             context.setCheckpointDir(base)
         _FOLDERS[key] = f"{base.rstrip('/')}/weft-{uuid.uuid4().hex}"
         atexit.register(_forget, context._jvm.org.apache.hadoop.fs.Path(_FOLDERS[key]), context._jsc.hadoopConfiguration())
-    path = f"{_FOLDERS[key]}/{uuid.uuid4().hex}"
+    return f"{_FOLDERS[key]}/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder as Parquet: its plan starts anew from there."""
+    path = shared_path(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -68,7 +68,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, vector: str = "embeddi
     lows = roots.join(distinct.select("node", "low"), "node")
     named = lows.join(lows.groupBy("root").agg(F.min("low").alias("component")), "root").select("node", "component")
     of_print = distinct.select("print", "node", "copies", "low").join(counts, "node", "left").join(named, "node", "left").select("print", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "low").alias("component"))
-    out = marked.select("key", "print").join(of_print, "print", "left")
+    # written, so that Spark can split the join where many rows are copies of one vector
+    out = marked.select("key", "print").join(table(of_print, "components"), "print", "left")
     component = F.coalesce("component", "key")
     return out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("key"), F.lit(True)).alias("kept"))
 

@@ -344,9 +344,10 @@ def repeats(docs: DataFrame, unit: type, width: int, repeated: Callable, text: s
     marks, made = _settle(_stretches(texts, unit, width), unit, width, repeated)
     places = texts.select("sha", F.explode(F.arrays_zip("begin", "digest")).alias("s")).select("sha", "s.*").distinct()
     marked = places.join(marks, "digest").groupBy("sha").agg(F.collect_list(F.struct("begin", "marks")).alias("marked"))
-    found = table(_spans(texts.select("sha", "text").join(marked, "sha"), unit, width), "spans").dropDuplicates(["sha"])
+    found = table(_spans(texts.select("sha", "text").join(marked, "sha"), unit, width), "spans")
     for used in (texts, *made):
         drop_table(used)
+    found = found.dropDuplicates(["sha"])
     empty = hashlib.sha256(b"").hexdigest()
     copied = (F.col("rows") > 1) & (F.col("n") >= width)
     result = counted.join(found, "sha", "left").select(
@@ -355,4 +356,5 @@ def repeats(docs: DataFrame, unit: type, width: int, repeated: Callable, text: s
         F.when(copied, F.array(F.lit(0).cast("bigint"), F.col("n"))).otherwise(F.coalesce("spans", F.array().cast("array<bigint>"))).alias("spans"),
         F.when(copied, F.lit(empty)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha")))).alias("kept_sha256"),
     )
-    return slim.join(result, "sha").drop("sha").withColumnRenamed("key", key)
+    # written, so that Spark can split the join where many rows are copies of one text
+    return slim.join(table(result, "result"), "sha").drop("sha").withColumnRenamed("key", key)

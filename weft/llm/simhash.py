@@ -203,5 +203,6 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, text: str
     roots = table(components(links(distinct.select("fp"), radius)), "roots")
     joined = roots.join(distinct, roots.node == distinct.fp).groupBy("root").agg(F.min("low").alias("component_id"))
     named = roots.join(joined, "root").select(F.col("node").alias("fp"), "component_id")
-    of_fp = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
+    # written, so that Spark can split the join where many rows share a fingerprint
+    of_fp = table(distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")), "components")
     return fps.join(of_fp, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

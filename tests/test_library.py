@@ -295,3 +295,28 @@ def test_orders_are_asked_for(spark):
     assert Frame(df, ["b"]).groupby("a").agg(x=("b", "idxmax")).df.first().x == 3
     least = spark.createDataFrame([(1, -(2**63)), (2, 5)], "i int, v bigint")
     assert Frame(least, ["i"]).agg(x=("v", "idxmax")).df.first().x == 2
+
+
+def test_rows_one_by_one_and_errors(spark, tmp_path):
+    import base64
+
+    from weft.operators import models
+
+    f = made(spark, [(2, "b"), (1, "a")], "k int, x string", ["k"])
+    assert list(f.iterrows()) == [((1,), {"k": 1, "x": "a"}), ((2,), {"k": 2, "x": "b"})] and list(f.itertuples()) == [(1, "a"), (2, "b")]
+    with pytest.raises(ValueError, match="repeat"):
+        made(spark, [(1,), (1,)], "k int").merge(f, on="k", validate="1:1")
+    nested = spark.createDataFrame([({"a": 1}, [1, 2])], "m map<string,int>, l array<int>")
+    with pytest.raises(Exception, match="no key"):
+        Frame(nested).df.select(Frame(nested)["m"].dict.at("z").column).collect()
+    with pytest.raises(Exception, match="no place"):
+        Frame(nested).df.select(Frame(nested)["l"].list.at(2).column).collect()
+    url = "data:;base64," + base64.b64encode(b"bytes").decode()
+    got = spark.createDataFrame([(url,), (None,), ("data:broken",)], "u string").select(media.url_download(F.col("u"), "coerce").alias("b")).collect()
+    assert [r.b and bytes(r.b) for r in got] == [b"bytes", None, None]
+    sound = [0] * 800 + [1000, -1000] * 400 + [0] * 800
+    assert spark.createDataFrame([(sound,)], "s array<int>").select(media.voice_spans(F.col("s"), 8000)).first()[0] == [[800, 1600]]
+    (tmp_path / "m.json").write_text('{"one": {"dim": 3}}')
+    kept = models.Registry()
+    kept.register_folder(str(tmp_path), lambda settings: models.EchoModel(**settings))
+    assert kept.get("one").dim == 3

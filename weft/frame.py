@@ -75,6 +75,7 @@ class Series:
     def rmod(self, o): return self._binary(o, E.mod, flip=True)
     def rpow(self, o): return self._binary(o, F.pow, flip=True)
     div, rdiv, subtract, multiply, divide = truediv, rtruediv, sub, mul, truediv
+    rsubtract, rmultiply, rdivide, power, rpower = rsub, rmul, rtruediv, pow, rpow
     __add__, __sub__, __mul__, __truediv__, __floordiv__, __mod__, __pow__ = add, sub, mul, truediv, floordiv, mod, pow
     __radd__, __rsub__, __rmul__, __rtruediv__, __rfloordiv__, __rmod__, __rpow__ = radd, rsub, rmul, rtruediv, rfloordiv, rmod, rpow
 
@@ -99,6 +100,8 @@ class Series:
     def __and__(self, o): return self._bits(o, "and")
     def __or__(self, o): return self._bits(o, "or")
     def __xor__(self, o): return self._bits(o, "xor")
+    bitand, bitor, bitxor = __and__, __or__, __xor__
+    rbitand, rbitor, rbitxor = __and__, __or__, __xor__
     def __invert__(self): return self._new(~self.column if dict(self.frame.df.select(self.column.alias("x")).dtypes)["x"] == "boolean" else F.bitwise_not(self.column))
     def __neg__(self): return self._new(-self.column)
     __rand__, __ror__, __rxor__ = __and__, __or__, __xor__
@@ -198,6 +201,22 @@ class Series:
         bad = F.col("__x") > F.col("__y") if decreasing else F.col("__x") < F.col("__y")
         return Frame(made.agg((F.count_if(bad) == 0).alias("is_monotonic")))
 
+    def is_monotonic_increasing(self) -> Frame: return self.is_monotonic()
+    def is_monotonic_decreasing(self) -> Frame: return self.is_monotonic(True)
+    def hasnans(self) -> Frame: return Frame(self.frame.df.agg(F.coalesce(F.bool_or(self._sound.isNull()), F.lit(False)).alias("hasnans")))
+    def dot(self, other: Series) -> Frame: return Frame(self.frame.df.agg(F.sum(self._sound * other._sound).alias("dot")))
+    rdot = dot
+    def tshift(self, n: int, unit: str = "day") -> Series:
+        """Times moved by ``n`` units; no row changes its place."""
+        return self._new(self.column + F.make_dt_interval(**{f"{unit}s" if unit != "minute" else "mins": F.lit(n).cast("double") if unit == "second" else F.lit(n)}))
+
+    def memory_usage(self) -> Frame: return self.frame.memory_usage([self.name])
+    def to_tensor(self):
+        """A vector by the frame's first order column."""
+        from .operators.tensor import from_column
+
+        return from_column(self.frame.df.withColumn("__t", self.column), A._ordered(self.frame.order)[0], "__t")
+
     def nlargest(self, n: int) -> Frame: return self.to_frame().nlargest(n, self.name)
     def nsmallest(self, n: int) -> Frame: return self.to_frame().nsmallest(n, self.name)
     def describe(self) -> Frame: return self.agg("count", "mean", "std", "min", "q25", "median", "q75", "max")
@@ -410,10 +429,46 @@ class Frame:
     def at_time(self, column: str, time: str) -> Frame: return self._with(self.df.where(F.date_format(column, "HH:mm:ss") == time))
     def between_time(self, column: str, start: str, end: str) -> Frame: return self._with(self.df.where(F.date_format(column, "HH:mm:ss").between(start, end)))
 
+    # kinds, sizes and rows
+    def convert_dtypes(self) -> Frame: return self._with(R.convert_dtypes(self.df))
+    infer_objects = convert_dtypes
+    def memory_usage(self, columns=None) -> Frame:
+        """(column, bytes) of the values."""
+        return Frame(R.memory_usage(self.df, columns or self.columns), ["column"])
+
+    def rechunk(self, parts: int) -> Frame: return self._with(self.df.repartition(parts))
+    def iterrows(self):
+        """(index values, row as a dict), one partition at a time."""
+        for r in (self.df.orderBy(*self.order) if self.order else self.df).toLocalIterator():
+            yield tuple(r[i] for i in self.index), r.asDict()
+
+    def itertuples(self):
+        for _, row in self.iterrows():
+            yield tuple(row.values())
+
+    def to_tensor(self, columns: list[str]):
+        """Numeric columns as a matrix by the first order column."""
+        from .operators.tensor import from_columns
+
+        return from_columns(self.df, A._ordered(self.order)[0], columns)
+
+    @staticmethod
+    def from_tensor(t, names: list[str]) -> Frame:
+        from .operators.tensor import to_columns
+
+        return Frame(to_columns(t, names), ["i0"], ["i0"])
+
+    def cut(self, column: str, bins: int, name: str = "bucket", right: bool = True) -> Frame:
+        """Number, from 0, of the part of the range between least and largest that holds a value; ends belong to the outer parts."""
+        return self._with(R.cut_even(self.df, column, bins, name, right))
+
     # combination
-    def merge(self, right: Frame, on=None, how="inner", left_on=None, right_on=None, suffixes=("_x", "_y"), indicator=False) -> Frame:
-        from .operators.join import merge
+    def merge(self, right: Frame, on=None, how="inner", left_on=None, right_on=None, suffixes=("_x", "_y"), indicator=False, validate: str | None = None) -> Frame:
+        from .operators.join import merge, unique_keys
 
+        for side, one, keys in ((self, "1:1 1:m", on or left_on), (right, "1:1 m:1", on or right_on)):
+            if validate and validate in one.split():
+                unique_keys(side.df, _names(keys), validate)
         return Frame(merge(self.df, right.df, on, how, left_on, right_on, suffixes, indicator), self.order)
 
     def join(self, right: Frame, how="left", lsuffix="", rsuffix="") -> Frame: return self.merge(right, on=self.index, how=how, suffixes=(lsuffix, rsuffix))
@@ -454,10 +509,15 @@ class Frame:
     def factorize(self, column: str, name: str = "code") -> Frame: return self._with(R.factorize(self.df, column, name, self.order))
     def qcut(self, column: str, q: int, name: str = "bucket") -> Frame: return self._with(R.qcut(self.df, column, q, name))
     def transpose(self, by: str) -> Frame: return Frame(self.df.transpose(F.col(by)))
-    def ewm(self, column: str, alpha: float, by: Sequence[str] = (), name: str = "ewm") -> Frame:
+    def ewm(self, column: str, alpha: float | None = None, by: Sequence[str] = (), name: str = "ewm", *, com: float | None = None, span: float | None = None, halflife: float | None = None, min_periods: int = 0, adjust: bool = True, ignore_na: bool = False, how: str = "mean") -> Frame:
+        """mean, var or std; decay by one of alpha, com, span and halflife."""
         from .operators.dataflow import ewm
 
-        return self._with(ewm(self.df, column, alpha, list(by), self.order, name))
+        given = [x for x in (alpha, com, span, halflife) if x is not None]
+        if len(given) != 1:
+            raise ValueError("name one of alpha, com, span and halflife")
+        alpha = alpha if alpha is not None else 1 / (1 + com) if com is not None else 2 / (span + 1) if span is not None else 1 - 0.5 ** (1 / halflife)
+        return self._with(ewm(self.df, column, alpha, list(by), self.order, name, {"min_periods": min_periods, "adjust": adjust, "ignore_na": ignore_na}, how))
 
     @property
     def mf(self):
@@ -511,6 +571,15 @@ class GroupBy:
     def rolling(self, name: str, window: int, how: str, to: str, min_periods: int | None = None) -> Frame:
         return self.frame._with(self.frame.df.withColumn(to, getattr(Moving(self.frame[name], window, window if min_periods is None else min_periods, False, self.by), how)().column))
 
+    def rolling_time(self, name: str, at: str, seconds: float, how: str, to: str, min_periods: int = 1, closed: str = "right") -> Frame:
+        """Rows of the last ``seconds`` before each; ``closed`` says which ends belong."""
+        low = -int(seconds * 1_000_000)
+        w = Window.partitionBy(*self.by).orderBy(F.unix_micros(F.col(at).cast("timestamp")))
+        w = w.rangeBetween(low if closed in ("left", "both") else low + 1, 0 if closed in ("right", "both") else -1)
+        c = A.sound_in(self.frame.df, name)
+        f = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_samp, "var": F.var_samp, "count": F.count}[how]
+        return self.frame._with(self.frame.df.withColumn(to, F.when(F.count(c).over(w) >= min_periods, f(c).over(w))))
+
     def expanding(self, name: str, how: str, to: str, min_periods: int = 1) -> Frame:
         return self.frame._with(self.frame.df.withColumn(to, getattr(Moving(self.frame[name], None, min_periods, False, self.by), how)().column))
 

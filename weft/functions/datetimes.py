@@ -35,7 +35,28 @@ class Dt:
     def month_name(self) -> Column: return F.date_format(self.c, "MMMM")
     def date(self) -> Column: return F.to_date(self.c)
     def time(self) -> Column: return F.date_format(self.c, "HH:mm:ss.SSSSSS")
-    timetz = time
+    def timetz(self, zone: str = "UTC") -> Column: return F.concat(self.time(), F.lit(f" {zone}"))
+    def tz(self, zone: str = "UTC") -> Column: return F.when(self.c.isNotNull(), F.lit(zone))
+    def freq(self, unit: str) -> Column:
+        """The unit where every time stands at its start, else missing."""
+        return F.when(F.date_trunc(_UNITS[unit], self.c) == self.c, F.lit(unit))
+
+    def as_unit(self, unit: str) -> Column: return F.date_trunc(_UNITS[unit], self.c)
+    def to_timestamp(self) -> Column: return self.c.cast("timestamp_ntz")
+    to_pydatetime = to_timestamp
+    def start_time(self, unit: str) -> Column: return F.date_trunc(_UNITS[unit], self.c)
+    def end_time(self, unit: str) -> Column:
+        """The last microsecond of the unit that holds a time."""
+        return F.date_trunc(_UNITS[unit], self.c) + F.expr(f"interval 1 {_UNITS[unit]}") - F.expr("interval 1 microsecond")
+
+    # parts of a length of time (a day-time interval)
+    def days(self) -> Column: return F.extract(F.lit("DAY"), self.c)
+    def seconds(self) -> Column: return (F.extract(F.lit("HOUR"), self.c) * 3600 + F.extract(F.lit("MINUTE"), self.c) * 60 + F.floor(F.extract(F.lit("SECOND"), self.c))).cast("int")
+    def microseconds(self) -> Column:
+        part = F.extract(F.lit("SECOND"), self.c)
+        return ((part - F.floor(part)) * 1_000_000).cast("int")
+
+    def nanoseconds(self) -> Column: return F.when(self.c.isNotNull(), F.lit(0))
     def normalize(self) -> Column: return F.date_trunc("day", self.c)
     def is_leap_year(self) -> Column: return F.dayofyear(F.make_date(F.year(self.c), F.lit(12), F.lit(31))) == 366
     def is_month_start(self) -> Column: return F.dayofmonth(self.c) == 1

@@ -9,6 +9,7 @@ import io
 import struct
 import wave
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
@@ -97,3 +98,44 @@ def audio_decode(column: Column) -> Column:
         return pd.Series(out)
 
     return run(column)
+
+
+def url_download(column: Column, errors: str = "raise", timeout: float = 30.0) -> Column:
+    """Bytes behind each address, read where the rows are; with ``coerce`` what can't be read is missing."""
+    @F.pandas_udf("binary")
+    def run(x: pd.Series) -> pd.Series:
+        from urllib.request import urlopen
+
+        out = []
+        for address in x:
+            try:
+                with urlopen(address, timeout=timeout) as got:
+                    out.append(got.read())
+            except (OSError, ValueError, AttributeError):
+                if errors == "raise" and address is not None:
+                    raise
+                out.append(None)
+        return pd.Series(out)
+
+    return run(column)
+
+
+def voice_spans(column: Column, rate: int, frame_ms: int = 20, least: float = 0.1) -> Column:
+    """Where sound is, of arrays of samples: [first, last + 1] of runs of frames with at least ``least`` of the loudest frame's level."""
+    @F.pandas_udf("array<array<bigint>>")
+    def run(x: pd.Series) -> pd.Series:
+        out = []
+        size = max(1, rate * frame_ms // 1000)
+        for samples in x:
+            if samples is None or not len(samples):
+                out.append(None if samples is None else [])
+                continue
+            wave_ = np.asarray(samples, float)
+            frames = -(-len(wave_) // size)
+            level = np.sqrt((np.pad(wave_, (0, frames * size - len(wave_))).reshape(frames, size) ** 2).mean(1))
+            on = np.concatenate([[False], level >= max(least * level.max(), 1e-9), [False]])
+            begin, end = np.flatnonzero(on[1:] & ~on[:-1]), np.flatnonzero(~on[1:] & on[:-1])
+            out.append([[int(a * size), int(min(b * size, len(wave_)))] for a, b in zip(begin, end)])
+        return pd.Series(out)
+
+    return run(column)

@@ -10,6 +10,10 @@ class Dict:
         self.c = column
 
     def __getitem__(self, key) -> Column: return F.try_element_at(self.c, F.lit(key))
+    def at(self, key) -> Column:
+        """A missing key is an error."""
+        return F.when(self.c.isNull() | F.map_contains_key(self.c, key), self[key]).otherwise(F.raise_error(F.lit(f"no key {key!r}")))
+
     def get(self, key, default=None) -> Column: return F.when(F.map_contains_key(self.c, key), self[key]).otherwise(F.lit(default))
     def contains(self, key) -> Column: return F.map_contains_key(self.c, key)
     def len(self) -> Column: return F.size(self.c)
@@ -25,6 +29,11 @@ class List:
         self.c = column
 
     def __getitem__(self, k: int) -> Column: return F.get(self.c, k) if k >= 0 else F.try_element_at(self.c, F.lit(k))
+    def at(self, k: int) -> Column:
+        """A place outside is an error."""
+        inside = F.size(self.c) > k if k >= 0 else F.size(self.c) >= -k
+        return F.when(self.c.isNull() | inside, self[k]).otherwise(F.raise_error(F.lit(f"no place {k}")))
+
     def len(self) -> Column: return F.size(self.c)
 
 

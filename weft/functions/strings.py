@@ -118,7 +118,11 @@ class Str:
         return F.when(self.c.rlike(pattern), got)
 
     def findall(self, pattern: str) -> Column: return F.regexp_extract_all(self.c, F.lit(f"({pattern})"), F.lit(1))
-    extractall = findall
+    def extractall(self, pattern: str, groups: int = 1) -> Column:
+        """An array with the groups of each match, as an array."""
+        found = [F.regexp_extract_all(self.c, F.lit(pattern), F.lit(g + 1)) for g in range(groups)]
+        return F.transform(F.arrays_zip(*[f.alias(f"g{g}") for g, f in enumerate(found)]), lambda z: F.array(*[z[f"g{g}"] for g in range(groups)]))
+
     def cat(self, *others: Column, sep: str = "") -> Column: return F.concat(*[x for k, o in enumerate([self.c, *others]) for x in ([F.lit(sep)] if k else []) + [o]])
     def join(self, sep: str) -> Column: return F.array_join(F.split(self.c, ""), sep)
     def wrap(self, width: int) -> Column: return F.regexp_replace(self.c, rf"(.{{1,{width}}})(?:\s+|$)", "$1\n")
@@ -131,7 +135,7 @@ class Str:
     def isalnum(self) -> Column: return self._all(r"[\p{L}\p{N}]")
     def isalpha(self) -> Column: return self._all(r"\p{L}")
     def isdigit(self) -> Column: return self._all(r"\p{Nd}")
-    isdecimal = isdigit
+    def isdecimal(self) -> Column: return self._all(r"\p{Nd}")
     def isnumeric(self) -> Column: return self._all(r"\p{N}")
     def isspace(self) -> Column: return self._all(r"\s")
     def islower(self) -> Column: return (self.c == F.lower(self.c)) & (self.c != F.upper(self.c))

@@ -188,8 +188,8 @@ def _by_group(df: DataFrame, f: Callable, keys: list[str], schema: str, order: l
     return dealt.mapInPandas(many if whole else each, schema)
 
 
-def ewm(df: DataFrame, column: str, alpha: float, by: list[str], order: list[str], name: str) -> DataFrame:
-    """Exponentially weighted mean, weights adjusted; a missing value keeps the last mean and ages it.
+def ewm(df: DataFrame, column: str, alpha: float, by: list[str], order: list[str], name: str, options: dict | None = None, how: str = "mean") -> DataFrame:
+    """Exponentially weighted mean, var or std; a missing value keeps the last one and ages it.
 
     A group's rows go through one task in order, a pandas frame for each group.
     """
@@ -197,7 +197,7 @@ def ewm(df: DataFrame, column: str, alpha: float, by: list[str], order: list[str
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(order)
-        return group.assign(**{name: group[column].ewm(alpha=alpha).mean()})
+        return group.assign(**{name: getattr(group[column].ewm(alpha=alpha, **(options or {})), how)()})
 
     schema = StructType([*[f for f in df.schema.fields if f.name != name], StructField(name, DoubleType())])
     return df.groupBy(*by).applyInPandas(run, schema)

@@ -37,6 +37,12 @@ def merge(left: DataFrame, right: DataFrame, on=None, how="inner", left_on=None,
     return out.drop("__l", "__r", *([y for y in rk] if shared else []))
 
 
+def unique_keys(df: DataFrame, keys: list[str], rule: str) -> None:
+    """An error where two rows share their keys."""
+    if not df.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").limit(1).isEmpty():
+        raise ValueError(f"keys {keys} repeat, against validate={rule!r}")
+
+
 def concat(frames: list[DataFrame], join: str = "outer") -> DataFrame:
     """Rows of all, by column name; with ``inner`` only the columns that all have."""
     common = [c for c in frames[0].columns if all(c in f.columns for f in frames)]

@@ -50,6 +50,22 @@ def generate(df: DataFrame, model, template: str, to: str = "response") -> DataF
 
 def embed(df: DataFrame, model, column: str, to: str = "embedding") -> DataFrame: return df.withColumn(to, _mapped(model.embed, "array<double>")(F.col(column)))
 def summary(df: DataFrame, model, column: str, to: str = "summary") -> DataFrame: return generate(df, model, f"Summarise: {{{column}}}", to)
+summarize = summary
+def transcribe(df: DataFrame, model, column: str, to: str = "transcript") -> DataFrame:
+    """Text of each sound's bytes by a model's ``transcribe``, a batch at a time."""
+    return df.withColumn(to, _mapped(model.transcribe, "string")(F.col(column)))
+
+
+def detect_language(df: DataFrame, model, column: str, to: str = "language") -> DataFrame:
+    """Language spoken in each sound's bytes by a model's ``detect_language``."""
+    return df.withColumn(to, _mapped(model.detect_language, "string")(F.col(column)))
+
+
+def apply_chunk(df: DataFrame, model, f: Callable, schema: str) -> DataFrame:
+    """``f(model, batch)`` of batches as pandas frames."""
+    return df.mapInPandas(lambda batches: (f(model, b) for b in batches), schema)
+
+
 def translate(df: DataFrame, model, column: str, language: str, to: str = "translation") -> DataFrame: return generate(df, model, f"Translate to {language}: {{{column}}}", to)
 def classify(df: DataFrame, model, column: str, labels: Sequence[str], to: str = "label") -> DataFrame:
     """The first label that the answer holds, else missing."""
@@ -70,6 +86,20 @@ class Registry:
     def register(self, name: str, model) -> None: self.models[name] = model
     def get(self, name: str): return self.models[name]
     def clean(self) -> None: self.models.clear()
+    def register_json(self, path: str, make: Callable[[dict], object]) -> None:
+        """Models from a file of {name: settings}."""
+        import json
+
+        with open(path, encoding="utf-8") as f:
+            for name, settings in json.load(f).items():
+                self.register(name, make(settings))
+
+    def register_folder(self, folder: str, make: Callable[[dict], object]) -> None:
+        """Models from all .json files of a folder, in the order of their names."""
+        import pathlib
+
+        for path in sorted(pathlib.Path(folder).glob("*.json")):
+            self.register_json(str(path), make)
 
 
 def predict(df: DataFrame, f: Callable[[pd.DataFrame], pd.Series], columns: list[str], kind: str = "double", to: str = "prediction") -> DataFrame:

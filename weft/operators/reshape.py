@@ -61,3 +61,43 @@ def qcut(df: DataFrame, column: str, q: int, name: str) -> DataFrame:
     return df.join(F.broadcast(edges)).withColumn(name, F.when(F.col(column).isNotNull(), bucket)).drop("__e")
 
 
+def cut_even(df: DataFrame, column: str, bins: int, name: str, right: bool) -> DataFrame:
+    """Bins of one width, found by one pass, so that a value on an edge falls as ``right`` says."""
+    c = sound_in(df, column).cast("double")
+    ends = df.agg(F.min(c).alias("__lo"), F.max(c).alias("__hi"))
+    width = (F.col("__hi") - F.col("__lo")) / bins
+    place = F.ceil((c - F.col("__lo")) / width) - 1 if right else F.floor((c - F.col("__lo")) / width)
+    made = F.when(width == 0, F.lit(bins // 2)).otherwise(F.greatest(F.lit(0), F.least(F.lit(bins - 1), place)))
+    return df.join(F.broadcast(ends)).withColumn(name, F.when(c.isNotNull(), made.cast("int"))).drop("__lo", "__hi")
+
+
+def convert_dtypes(df: DataFrame) -> DataFrame:
+    """Strings that all read as whole numbers, numbers, truth values or times become such; doubles without fractions become whole. One pass decides."""
+    kinds = ["bigint", "double", "boolean", "timestamp"]
+    strings = [c for c, t in df.dtypes if t == "string"]
+    floats = [c for c, t in df.dtypes if t in ("double", "float")]
+    if not strings and not floats:
+        return df
+    tests = [F.coalesce(F.bool_and(F.col(f"`{c}`").try_cast(k).isNotNull() | F.col(f"`{c}`").isNull()), F.lit(False)).alias(f"{i}_{k}") for i, c in enumerate(strings) for k in kinds]
+    known = [(F.count(f"`{c}`") > 0).alias(f"{i}_known") for i, c in enumerate(strings)]
+    whole = [F.coalesce(F.bool_and(sound_in(df, c) == F.floor(sound_in(df, c))), F.lit(False)).alias(f"f{i}") for i, c in enumerate(floats)]
+    got = df.agg(*tests, *known, *whole).first()
+    made = {c: F.col(f"`{c}`").cast(next(k for k in kinds if got[f"{i}_{k}"])) for i, c in enumerate(strings) if got[f"{i}_known"] and any(got[f"{i}_{k}"] for k in kinds)}
+    made |= {c: sound_in(df, c).cast("bigint") for i, c in enumerate(floats) if got[f"f{i}"]}
+    return df.withColumns(made)
+
+
+def memory_usage(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, bytes): of strings and bytes what they hold, of others the width of their type for each row."""
+    widths = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "date": 4, "float": 4}
+    kinds = dict(df.dtypes)
+
+    def size(c: str):
+        if kinds[c] in ("string", "binary"):
+            return F.coalesce(F.sum(F.octet_length(f"`{c}`")), F.lit(0)).cast("bigint")
+        if kinds[c].startswith("array"):
+            return (F.coalesce(F.sum(F.size(f"`{c}`")), F.lit(0)) * widths.get(kinds[c][6:-1], 8)).cast("bigint")
+        return F.count("*") * widths.get(kinds[c], 8)
+
+    made = df.agg(*[size(c).alias(f"c{k}") for k, c in enumerate(columns)])
+    return made.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{k}").alias("bytes")) for k, c in enumerate(columns)])).alias("r")).select("r.*")

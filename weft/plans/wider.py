@@ -5,12 +5,15 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..frame import Frame, Series
 from ..functions import numeric as U
 from ..lite import LiteFrame
 from ..operators import learn as M
+from ..operators import models as O
+from ..operators import reshape as R
 from ..operators import tensor as X
 from ..operators.tensor import Tensor
-from .registry import query, rounded
+from .registry import column, query, rounded
 
 # ---- NaN is missing
 _nan = lambda get: get("events").assign(x=F.when(F.col("value") < 10, F.lit(float("nan"))).otherwise(F.col("value")))
@@ -162,3 +165,30 @@ query("tensor_rfftfreq", "SELECT range AS i0, range / 5.0::DOUBLE AS v FROM rang
 query("tensor_fftshift", f"SELECT i0, (i1 + 32) % 64 AS i1, round(v, 6) AS v FROM {_A}")(lambda get: rounded(X.fftshift(_T(get), 1, 64).df, 6))
 for name, make, sql in [("fabs", lambda c: U.fabs(-c), "abs(value)"), ("tree_add", lambda c: U.tree_add(c, c, F.lit(1.0)), "value * 2 + 1"), ("tree_multiply", lambda c: U.tree_multiply(c, c), "value * value"), ("around", lambda c: U.around(c * 8, 0), "round_even(value * 8, 0)"), ("isreal", lambda c: U.isreal(U.complex_(c, F.lit(0.0))).cast("int"), "1"), ("set_imag", lambda c: U.absolute(U.set_imag(U.complex_(c, F.lit(0.0)), F.lit(4.0))), "sqrt(value * value + 16)")]:
     query(f"numeric_{name}", f"SELECT event_id, round(CAST({sql} AS DOUBLE), 6) AS r FROM events")(lambda get, make=make: get("events").df.select("event_id", F.round(make(F.col("value")).cast("double"), 6).alias("r")))
+
+# ---- kinds, sizes, lengths of time
+query("bitwise_reversed", "SELECT o_orderkey, o_custkey & 12 AS a, o_custkey | 3 AS o, xor(o_custkey, 5) AS x FROM orders")(lambda get: (lambda f: f.df.select("o_orderkey", f["o_custkey"].rbitand(F.lit(12)).column.cast("bigint").alias("a"), f["o_custkey"].rbitor(F.lit(3)).column.cast("bigint").alias("o"), f["o_custkey"].rbitxor(F.lit(5)).column.cast("bigint").alias("x")))(get("orders")))
+query("is_monotonic_decreasing", "SELECT false AS is_monotonic")(lambda get: get("events")["event_id"].is_monotonic_decreasing())
+query("hasnans", "SELECT true AS hasnans")(lambda get: _nan(get)["x"].hasnans())
+query("series_dot", "SELECT round(sum(o_totalprice * (o_custkey % 5)), 2) AS dot FROM orders")(lambda get: rounded((lambda f: f["o_totalprice"].dot(f["o_custkey"] % 5))(get("orders")).df, 2))
+query("tshift", "SELECT event_id, ts + INTERVAL 3 HOUR AS r FROM events")(lambda get: (lambda f: f.df.select("event_id", f["ts"].tshift(3, "hour").column.alias("r")))(get("events")))
+query("memory_usage", "SELECT 'o_orderkey' AS \"column\", 8 * count(*) AS bytes FROM orders UNION ALL SELECT 'o_orderstatus', CAST(sum(strlen(o_orderstatus)) AS BIGINT) FROM orders")(lambda get: get("orders").memory_usage(["o_orderkey", "o_orderstatus"]))
+query("convert_dtypes", "SELECT p_partkey, p_size, p_retailprice, p_size % 2 = 0 AS even, p_name FROM part")(lambda get: get("part").df.selectExpr("p_partkey", "cast(p_size as string) p_size", "cast(p_retailprice as string) p_retailprice", "cast(p_size % 2 = 0 as string) even", "p_name").transform(lambda d: R.convert_dtypes(d)))
+query("rechunk", "SELECT event_id FROM events")(lambda get: get("events").rechunk(5)[["event_id"]])
+query("frame_to_tensor", "SELECT event_id AS i0, 0 AS i1, value AS v FROM events UNION ALL SELECT event_id, 1, CAST(user_id AS DOUBLE) FROM events")(lambda get: get("events").to_tensor(["value", "user_id"]).df)
+query("frame_from_tensor", "SELECT event_id AS i0, value AS a, CAST(user_id AS DOUBLE) AS b FROM events")(lambda get: Frame.from_tensor(get("events").to_tensor(["value", "user_id"]), ["a", "b"]))
+query("cut_even", "SELECT event_id, CAST(greatest(0, least(5, ceil((value - lo) / ((hi - lo) / 6)) - 1)) AS INT) AS bucket FROM events, (SELECT min(value) AS lo, max(value) AS hi FROM events)")(lambda get: get("events").cut("value", 6)[["event_id", "bucket"]])
+query("merge_validate", "SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")(lambda get: get("nation").merge(get("region"), left_on="n_regionkey", right_on="r_regionkey", validate="m:1")[["n_nationkey", "r_name"]])
+query("ewm_span", "WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) SELECT a.event_id, round(sum(b.value * pow(0.5, a.k - b.k)) / sum(pow(0.5, a.k - b.k)), 6) AS r FROM e a JOIN e b ON a.user_id = b.user_id AND b.k <= a.k GROUP BY ALL")(lambda get: rounded(get("events")[["event_id", "user_id", "value"]].ewm("value", by=["user_id"], name="r", span=3).df.select("event_id", "r"), 6))
+query("groupby_rolling_time", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW), 4) AS r FROM events")(lambda get: rounded(get("events").groupby("user_id").rolling_time("value", "ts", 3600, "sum", "r").df.select("event_id", "r")))
+query("groupby_rolling_time_both", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW), 4) AS r FROM events")(lambda get: rounded(get("events").groupby("user_id").rolling_time("value", "ts", 3600, "sum", "r", closed="both").df.select("event_id", "r")))
+for name, kind, make, sql in [
+    ("end_time", "t", lambda f: f["ts"].dt.end_time("h"), "date_trunc('hour', ts) + INTERVAL 1 HOUR - INTERVAL 1 MICROSECOND"), ("as_unit", "t", lambda f: f["ts"].dt.as_unit("s"), "date_trunc('second', ts)"), ("to_timestamp", "t", lambda f: f["ts"].dt.to_timestamp(), "ts"),
+    ("freq", "s", lambda f: f["ts"].dt.freq("min"), "CASE WHEN date_trunc('minute', ts) = ts THEN 'min' END"), ("tz", "s", lambda f: f["ts"].dt.tz(), "'UTC'"), ("timetz", "s", lambda f: f["ts"].dt.timetz(), "strftime(ts, '%H:%M:%S.%f') || ' UTC'"),
+    ("length_seconds", "i", lambda f: Series(f, F.col("ts").cast("timestamp_ntz") - F.lit("2000-01-01").cast("timestamp_ntz"), "d").dt.seconds(), "(epoch_us(ts) - epoch_us(TIMESTAMP '2000-01-01')) // 1000000 % 86400"), ("length_days", "i", lambda f: Series(f, F.col("ts").cast("timestamp_ntz") - F.lit("2000-01-01").cast("timestamp_ntz"), "d").dt.days(), "(epoch_us(ts) - epoch_us(TIMESTAMP '2000-01-01')) // 86400000000"),
+]:
+    column(f"dt_{name}", "events", kind, make, sql)
+query("str_extractall", "SELECT p_partkey, array_to_string(regexp_extract_all(p_type, '([A-Z])([A-Z])', 1), ',') AS a, array_to_string(regexp_extract_all(p_type, '([A-Z])([A-Z])', 2), ',') AS b FROM part")(lambda get: (lambda f: f.df.select("p_partkey", f["p_type"].str.extractall("([A-Z])([A-Z])", 2).column.alias("m")).select("p_partkey", F.array_join(F.transform("m", lambda x: x[0]), ",").alias("a"), F.array_join(F.transform("m", lambda x: x[1]), ",").alias("b")))(get("part")))
+query("str_isdecimal", "SELECT p_partkey, regexp_full_match(p_name, '[0-9]+') AS r FROM part")(lambda get: (lambda f: f.df.select("p_partkey", f["p_name"].str.isdecimal().column.alias("r")))(get("part")))
+query("dict_list_at", "SELECT o_orderkey, o_custkey AS a, o_custkey AS b FROM orders")(lambda get: (lambda f: f.df.select("o_orderkey", f["m"].dict.at("k").column.alias("a"), f["l"].list.at(-1).column.alias("b")))(get("orders").assign(m=F.create_map(F.lit("k"), F.col("o_custkey")), l=F.array(F.lit(0), F.col("o_custkey")))))
+query("model_apply_chunk", "SELECT p_partkey, 8 * p_size AS r FROM part")(lambda get: O.apply_chunk(get("part").df.select("p_partkey", "p_size"), O.EchoModel(), lambda m, b: pd.DataFrame({"p_partkey": b.p_partkey, "r": b.p_size * m.dim}), "p_partkey bigint, r int"))

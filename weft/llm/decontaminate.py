@@ -14,6 +14,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from .text import ALNUM, LOWER, buffer, covered, numbered, runs, same_spans, slices, span_hashes, spans, words
 
@@ -210,7 +211,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: s
     context = docs.sparkSession.sparkContext
     shipped_blocks = [context.broadcast(Phrases(block, width)) for block in _blocks(items)]
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("mask", F.lit(None).cast("binary")).withColumn("item_ids", F.array().cast("array<string>"))
-    kind = rows.schema["key"].dataType.simpleString()
+    own = rows.schema["key"]
     for k, shipped in enumerate(shipped_blocks):
         final = k == len(shipped_blocks) - 1
 
@@ -247,8 +248,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: s
                     labels.append("text")
                 yield pa.record_batch(columns, names=labels)
 
-        schema = f"key {kind}, n_words bigint, hit_spans array<array<bigint>>, item_ids array<string>" + ", text string" * clean if final else f"key {kind}, text string, mask binary, item_ids array<string>"
-        rows = rows.mapInArrow(run, schema)
+        made = "n_words bigint, hit_spans array<array<bigint>>, item_ids array<string>" + ", text string" * clean if final else "text string, mask binary, item_ids array<string>"
+        rows = rows.mapInArrow(run, StructType([own, *StructType.fromDDL(made).fields]))
     return rows.withColumnRenamed("key", key)
 
 

@@ -320,3 +320,10 @@ def test_rows_one_by_one_and_errors(spark, tmp_path):
     kept = models.Registry()
     kept.register_folder(str(tmp_path), lambda settings: models.EchoModel(**settings))
     assert kept.get("one").dim == 3
+
+
+def test_many_queries_meet_rows_in_blocks(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, [float(k % 7), float(k % 3)]) for k in range(60)], "id int, v array<double>")
+    want = sorted(map(tuple, learn.pairwise_distances(rows, rows, "id", "v").collect()))
+    monkeypatch.setattr(learn, "BLOCK", 9)
+    assert sorted(map(tuple, learn.pairwise_distances(rows, rows, "id", "v").collect())) == want and len(want) == 3600

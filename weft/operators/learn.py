@@ -6,6 +6,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut
+from .ranges import near, row_number, running
+
+#: Queries that are sent to every task at most.
+BLOCK = 10_000
 
 
 # ---- metrics of two columns, true and predicted
@@ -37,15 +41,16 @@ def log_loss(df: DataFrame, true: str, prob: str, eps: float = 1e-15) -> DataFra
 def roc_curve(df: DataFrame, true: str, score: str) -> DataFrame:
     """(threshold, fpr, tpr), one row for each distinct score.  Counts by score come first; sums run over those."""
     by = df.groupBy(F.col(score).alias("threshold")).agg(F.sum((F.col(true) == 1).cast("bigint")).alias("tp"), F.sum((F.col(true) != 1).cast("bigint")).alias("fp"))
-    w = Window.orderBy(F.desc("threshold"))
+    by = running(by, ["threshold"], F.col("tp"), "sum", "up_tp", back=True)
+    by = running(by, ["threshold"], F.col("fp"), "sum", "up_fp", back=True)
     whole = by.agg(F.sum("tp").alias("all_tp"), F.sum("fp").alias("all_fp"))
-    return by.withColumn("tp", F.sum("tp").over(w)).withColumn("fp", F.sum("fp").over(w)).join(F.broadcast(whole)).select("threshold", (F.col("fp") / F.col("all_fp")).alias("fpr"), (F.col("tp") / F.col("all_tp")).alias("tpr"))
+    return by.join(F.broadcast(whole)).select("threshold", (F.col("up_fp") / F.col("all_fp")).alias("fpr"), (F.col("up_tp") / F.col("all_tp")).alias("tpr"))
 
 
 def auc(curve: DataFrame, x: str = "fpr", y: str = "tpr", start: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
-    w = Window.orderBy(x, y)
-    dx = F.col(x) - F.coalesce(F.lag(x).over(w), F.lit(start[0]))
-    return curve.select((dx * (F.col(y) + F.coalesce(F.lag(y).over(w), F.lit(start[1]))) / 2).alias("a")).agg(F.sum("a").alias("auc"))
+    made = near(curve.select(x, y), [x, y], 1, 0, {"__x": lambda w: F.lag(x).over(w), "__y": lambda w: F.lag(y).over(w)})
+    dx = F.col(x) - F.coalesce("__x", F.lit(start[0]))
+    return made.select((dx * (F.col(y) + F.coalesce("__y", F.lit(start[1]))) / 2).alias("a")).agg(F.sum("a").alias("auc"))
 
 
 def roc_auc_score(df: DataFrame, true: str, score: str) -> DataFrame:
@@ -86,9 +91,21 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 
 
 def pairwise_distances(queries: DataFrame, rows: DataFrame, key: str, vector: str, metric: str = "euclidean") -> DataFrame:
-    """(query, key, distance) of a stated set of queries against all rows."""
+    """(query, key, distance) of a stated set of queries against all rows.
+
+    Up to ``BLOCK`` queries go to every task; more are dealt in blocks, and blocks of rows meet each of them.
+    """
     q = queries.select(F.col(key).alias("query"), F.col(vector).alias("__q"))
-    return rows.crossJoin(F.broadcast(q)).select("query", F.col(key).alias("key"), distance(F.col("__q"), F.col(vector), metric).alias("distance"))
+    rows = rows.select(F.col(key).alias("key"), F.col(vector).alias("__v"))
+    blocks = -(-q.count() // BLOCK)
+    if blocks <= 1:
+        both = rows.crossJoin(F.broadcast(q))
+    else:
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        q = q.withColumn("__b", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).withColumn("__s", every(parts))
+        both = rows.withColumn("__s", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")).withColumn("__b", every(blocks)).join(q, ["__b", "__s"])
+    return both.select("query", "key", distance(F.col("__q"), F.col("__v"), metric).alias("distance"))
 
 
 def pairwise_topk(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, metric: str = "euclidean") -> DataFrame:
@@ -116,7 +133,7 @@ def minmax_scale(df: DataFrame, columns: list[str], low: float = 0.0, high: floa
 
 def label_encode(df: DataFrame, column: str, to: str = "code") -> DataFrame:
     codes = df.select(column).where(F.col(column).isNotNull()).distinct()
-    codes = codes.withColumn(to, F.row_number().over(Window.orderBy(column)) - 1)
+    codes = row_number(codes, [column], to).withColumn(to, F.col(to).cast("int"))
     return df.join(codes, column, "left")
 
 

@@ -59,8 +59,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = ROW
     if not names:
         return [], np.zeros((1 << BITS, 0), np.float32)
     bits = min(BITS, (CELLS // len(names)).bit_length() - 1)
-    # about a fifth more than enough by hash, then the first ones; copies share a hash, so one of them teaches
-    chosen = known.join(per, "lang").where(F.pmod("hash", F.lit(1 << 30)) < F.least(F.lit(1.0), 1.2 * rows / F.col("n")) * (1 << 30)).dropDuplicates(["lang", "hash"])
+    # about a fifth more than enough by hash, then the first ones; copies share a hash, so one of them teaches.  ``per`` has one row
+    # for each language, as many as the driver holds as well
+    chosen = known.join(F.broadcast(per), "lang").where(F.pmod("hash", F.lit(1 << 30)) < F.least(F.lit(1.0), 1.2 * rows / F.col("n")) * (1 << 30)).dropDuplicates(["lang", "hash"])
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(1 << 30)), "hash"))
     chosen = chosen.withColumn("at", first).where(F.col("at") <= rows).select("text", "lang")
     number = {n: k for k, n in enumerate(names)}

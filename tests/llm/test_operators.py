@@ -541,8 +541,8 @@ def test_language_on_odd_inputs(spark):
     train = spark.createDataFrame(rows, "lang string, text string")
     learned = fit(train, rows=2)
     assert learned[0] == sorted(words)
-    test = [(k, " ".join(RNG.choice(words[n], 30)), n) for k, n in enumerate(sorted(words)[::7])]
-    test += [test[0], (900, " ".join(RNG.choice(words["l003"], 40_000)), "l003")]
+    test = [(k, " ".join(RNG.choice(words[n], 30)), n) for k, n in enumerate(sorted(words)[::11])]
+    test += [test[0], (900, " ".join(RNG.choice(words["l003"], 20_000)), "l003")]
     got = languages(spark.createDataFrame(test, "doc_id bigint, text string, lang string").withColumn("key", F.lit(1)).withColumn("shares", F.lit(1)), learned).collect()
     want = {k: n for k, _, n in test}
     assert len(got) == len(test) and sum(r.lang_pred == want[r.doc_id] for r in got) >= 0.95 * len(got)

@@ -2,8 +2,8 @@
 
 Byte n-gram counts of labelled texts give each language's model.  A text is a bag
 of words, each drawn from one language; expectation-maximisation finds the mixture.
-Languages leave the set one by one, the weakest first, while the likelihood
-penalised for the number of languages gains.
+Languages leave the set, the weakest first (one by one, or half of them while there are
+many), and the set stays whose likelihood, penalised for its number of languages, is best.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from .text import LOWER, SPACE, U, buffer, slices, spans
 ROWS = 3_000
 #: N-grams fall into 2 ** BITS buckets, or fewer where there are so many languages that the table would have over CELLS numbers.
 BITS, CELLS, NGRAM = 17, 1 << 25, 4
+#: Beyond so many languages left, half of them leave at a time.
+MANY = 8
 
 
 def grams(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -127,14 +129,17 @@ def infer(odds: np.ndarray, owner: np.ndarray, texts: int, penalty: float = 3.0,
     share, likelihood = _mixture(odds, owner, texts, allowed, rounds)
     best, best_value, best_size = share, likelihood - languages * price, np.full(texts, languages)
     while (size := int(allowed[0].sum()) if texts else 0) > 1:
-        weakest = languages - 1 - np.where(allowed > 0, share, np.inf)[:, ::-1].argmin(1)  # of equals the last name leaves
+        gone = size // 2 if size > MANY else 1
+        rest = np.where(allowed > 0, share, np.inf)[:, ::-1]
+        weakest = languages - 1 - np.argsort(rest, axis=1, kind="stable")[:, :gone]  # of equals the last name leaves
         allowed = allowed.copy()
-        allowed[np.arange(texts), weakest] = 0
+        np.put_along_axis(allowed, weakest, 0, 1)
+        size -= gone
         share, likelihood = _mixture(odds, owner, texts, allowed, rounds)
-        value = likelihood - (size - 1) * price
+        value = likelihood - size * price
         better = value >= best_value
         best = np.where(better[:, None], share, best)
-        best_size = np.where(better, size - 1, best_size)
+        best_size = np.where(better, size, best_size)
         best_value = np.where(better, value, best_value)
     return best, best_size
 

@@ -152,6 +152,7 @@ def _around(fronts: DataFrame, least: float) -> DataFrame:
     """(a, b): each text with the centre of each meeting, the text with most meetings."""
     weight = fronts.groupBy("node").agg(F.count("*").alias("w"))
     centres = fronts.join(weight, "node").groupBy("hash").agg(F.max_by(F.struct("node", "size", "rest", *MAP), F.struct("w", "node")).alias("c")).select("hash", "c.*")
+    centres = table(centres, "centres")  # written, so that Spark can split the join at a hash that many texts share
     return fronts.alias("a").join(centres.alias("b"), "hash").where("a.node <> b.node").where(_can(least)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
 
@@ -179,7 +180,7 @@ def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _closest(texts: DataFrame) -> DataFrame:
     """(a, b): texts whose fingerprints are equal or linked by the tree."""
-    heads = texts.groupBy("fp").agg(F.min("node").alias("head"))
+    heads = table(texts.groupBy("fp").agg(F.min("node").alias("head")), "heads")
     same = texts.join(heads, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     linked = links(heads.select("fp"), 2)
     for side in "ab":

@@ -327,3 +327,12 @@ def test_many_queries_meet_rows_in_blocks(spark, monkeypatch):
     want = sorted(map(tuple, learn.pairwise_distances(rows, rows, "id", "v").collect()))
     monkeypatch.setattr(learn, "BLOCK", 9)
     assert sorted(map(tuple, learn.pairwise_distances(rows, rows, "id", "v").collect())) == want and len(want) == 3600
+
+
+def test_distances_come_from_blocks_and_missing_vectors_are_last(spark):
+    rows = spark.createDataFrame([(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [1.0, 2.0, 3.0]), (4, [0.0, 0.0]), (5, [math.nan, 1.0]), (7, [1.0, 2.0])], "id int, v array<double>")
+    got = learn.pairwise_topk(rows.where("id = 0"), rows, "id", "v", 6)
+    assert [r.key for r in got.orderBy("rank").collect()] == [7, 4, 5, 1, 2, 3]
+    made = learn.pairwise_distances(rows.where("id = 4"), rows, "id", "v", "cosine")
+    assert "MapInArrow" in made._jdf.queryExecution().toString()
+    assert all(r.distance is None or math.isnan(r.distance) for r in made.collect())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weft.frame import Frame
 from weft.functions import media
-from weft.operators import learn, linalg, random
+from weft.operators import learn, linalg, random, ranges
 from weft.sources import readers, writers
 from weft.streaming import sinks
 
@@ -336,3 +336,15 @@ def test_distances_come_from_blocks_and_missing_vectors_are_last(spark):
     made = learn.pairwise_distances(rows.where("id = 4"), rows, "id", "v", "cosine")
     assert "MapInArrow" in made._jdf.queryExecution().toString()
     assert all(r.distance is None or math.isnan(r.distance) for r in made.collect())
+
+
+def test_what_comes_after_is_gathered_from_the_end(spark):
+    rows = [(k, None if k % 4 == 0 or k > 17 else k, k % 2) for k in range(20)]
+    f = made(spark, rows, "k int, x int, g int", ["k"])
+    want = [next((x for j, x, _ in rows if j >= k and x is not None), None) for k in range(20)]
+    held = [next((x for j, x, h in rows if j >= k and h == g and x is not None), None) for k, _, g in rows]
+    for got, r in ((f.filled("x", "r", back=True), want), (f.assign(r=f["x"].bfill().column), want), (f.groupby("g").bfill("x", "r"), held)):
+        assert "unboundedfollowing" not in got.df._jdf.queryExecution().toString().lower()
+        assert [a.r for a in got.df.orderBy("k").collect()] == r
+    for how, r in (("sum", [sum(x or 0 for _, x, _ in rows[k:]) if k < 18 else None for k in range(20)]), ("last", [17 if k < 18 else None for k in range(20)]), ("count", [sum(x is not None for _, x, _ in rows[k:]) for k in range(20)])):
+        assert [a.r for a in ranges.running(f.df, ["k"], F.col("x"), how, "r", back=True).orderBy("k").collect()] == r

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weft.frame import Frame
 from weft.functions import media
-from weft.operators import learn, linalg, random, ranges
+from weft.operators import dataflow, learn, linalg, random, ranges
 from weft.sources import readers, writers
 from weft.streaming import sinks
 
@@ -348,3 +348,11 @@ def test_what_comes_after_is_gathered_from_the_end(spark):
         assert [a.r for a in got.df.orderBy("k").collect()] == r
     for how, r in (("sum", [sum(x or 0 for _, x, _ in rows[k:]) if k < 18 else None for k in range(20)]), ("last", [17 if k < 18 else None for k in range(20)]), ("count", [sum(x is not None for _, x, _ in rows[k:]) for k in range(20)])):
         assert [a.r for a in ranges.running(f.df, ["k"], F.col("x"), how, "r", back=True).orderBy("k").collect()] == r
+
+
+def test_mappers_get_batches_of_bounded_text(monkeypatch):
+    b = pd.DataFrame({"k": range(6), "t": ["aaaa", "bb", None, "c" * 30, "dd", "e"]})
+    monkeypatch.setattr(dataflow, "TEXT", 6)
+    seen = [p.k.tolist() for p in dataflow._stream(lambda p: p, iter([b, b.iloc[:0], b[["k"]]]), None)]
+    assert seen == [[0, 1, 2], [3], [4, 5], [0, 1, 2, 3, 4, 5]]
+    assert [p.k.tolist() for p in dataflow._stream(lambda p: p, iter([b]), 4)] == [[0, 1, 2, 3], [4, 5]]

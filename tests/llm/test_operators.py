@@ -585,3 +585,14 @@ def test_pipeline(spark, tmp_path):
             docs.write.parquet(str(tmp_path / str(k)))
             docs = spark.read.parquet(str(tmp_path / str(k)))
     assert docs.count() > 0
+
+
+def test_folded_features_unfold_to_the_same_ids_and_shares():
+    from weft.llm import quality
+
+    for counts in ([1, 2, 300, 70_000], [1, 1, 3, 2], []):
+        ids, c = np.array([3, 65_536, 131_071, 262_143][: len(counts)], np.int32), np.array(counts, np.int64)
+        low, n, parts = quality._folded(ids, c, 18)
+        assert len(low) == 2 * len(ids) and len(parts) == 4
+        got = quality._unfolded(memoryview(low), memoryview(n), np.array(parts), 80_000)
+        assert got[0].tolist() == ids.tolist() and got[1].tolist() == (c / 80_000).astype(np.float32).tolist()

@@ -178,6 +178,24 @@ def test_whole_components_and_missing_keys(spark):
     assert Counter(map(tuple, queries["merge_missing_keys_whole"](spark, folder).select("x", "y").collect())) == want
 
 
+def test_merge_of_many_rows_of_a_key_is_dealt(spark):
+    from weft.operators import join
+    from weft.plans import registry
+
+    pairs = registry.queries()["merge_missing_keys"](spark, "/root/testdata/sf0.01").groupBy(F.spark_partition_id().alias("p")).count().toPandas()["count"]
+    assert len(pairs) >= 8 and pairs.max() < pairs.sum() / 4
+    a = spark.createDataFrame([(None, -0.0, 1), (None, 0.0, None), (3, 0.0, 7), (3, 0.0, 7), (4, float("nan"), 8), (5, 1.0, 9)] + [(6, 2.0, k % 3) for k in range(1500)], "k int, f double, x int")
+    b = spark.createDataFrame([(0.0, None, "a"), (-0.0, None, None), (0.0, 3, "b"), (0.0, 3, "b"), (float("nan"), 4, "c"), (2.0, 6, "d")], "f double, k bigint, x string")
+    for how in ({"on": ["k", "f"], "indicator": True}, {"on": "k"}, {"left_on": ["k", "f"], "right_on": ["k", "f"]}):
+        want, got = join.merge(a, b, **how), join.merge(a, b, many=True, **how)
+        assert got.dtypes == want.dtypes
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    keys = a.select("k")
+    assert join.merge(keys, keys, on="k", many=True).count() == join.merge(keys, keys, on="k").count() == 1500**2 + 10
+    with pytest.raises(ValueError):
+        join.merge(a, b, on="k", how="left", many=True)
+
+
 # ---- seeded columns: mean and variance of each distribution
 def _moments(spark, make):
     got = spark.range(20_000).select(make(["id"]).cast("double").alias("r")).toPandas().r.to_numpy()

@@ -374,3 +374,25 @@ def test_mappers_get_batches_of_bounded_text(monkeypatch):
     seen = [p.k.tolist() for p in dataflow._stream(lambda p: p, iter([b, b.iloc[:0], b[["k"]]]), None)]
     assert seen == [[0, 1, 2], [3], [4, 5], [0, 1, 2, 3, 4, 5]]
     assert [p.k.tolist() for p in dataflow._stream(lambda p: p, iter([b]), 4)] == [[0, 1, 2, 3], [4, 5]]
+
+
+def test_fft_of_whole_lines(spark):
+    from weft.operators import tensor as X
+
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(5, 7)), rng.normal(size=(5, 7))
+    cells = lambda m: X.Tensor(spark.createDataFrame([(r, c, float(m[r, c])) for r in range(5) for c in range(7)], "i0 bigint, i1 int, v double"), 2)
+    dense = lambda t: t.df.groupBy("i0").pivot("i1").agg(F.first("v")).orderBy("i0").drop("i0").toPandas().to_numpy()
+    re, im = X.fft(cells(x), 1, 7)
+    assert np.allclose(dense(re) + 1j * dense(im), np.fft.fft(x))
+    back = X.ifft(re, im, 1, 7)[0]
+    plan = back.df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    assert np.allclose(dense(back), x)
+    re, im = X.fft(cells(x), 0, 5, imag=cells(y))
+    assert np.allclose(dense(re) + 1j * dense(im), np.fft.fft(x + 1j * y, axis=0))
+    assert np.allclose(dense(X.ifft(im, re, 0, 5)[0]), np.fft.ifft(np.fft.fft(x + 1j * y, axis=0).imag + 1j * np.fft.fft(x + 1j * y, axis=0).real, axis=0).real)
+    # repeated, missing, empty and endless cells
+    odd = X.Tensor(spark.createDataFrame([(0, 0, 1.0), (0, 4, 2.0), (0, None, 9.0), (0, 1, None), (1, 2, None), (2, 0, float("inf"))], "i0 int, i1 int, v double"), 2)
+    got = {(r.i0, r.i1): r.v for r in X.fft(odd, 1, 4)[0].df.collect()}
+    assert got == {(0, k): 3.0 for k in range(4)} | {(1, k): None for k in range(4)} | {(2, k): float("inf") for k in range(4)}

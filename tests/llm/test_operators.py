@@ -596,3 +596,22 @@ def test_folded_features_unfold_to_the_same_ids_and_shares():
         assert len(low) == 2 * len(ids) and len(parts) == 4
         got = quality._unfolded(memoryview(low), memoryview(n), np.array(parts), 80_000)
         assert got[0].tolist() == ids.tolist() and got[1].tolist() == (c / 80_000).astype(np.float32).tolist()
+
+
+def test_quality_features_stay_off_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    from weft.llm import quality
+
+    def refuse(self):
+        raise AssertionError("features reach the driver")
+
+    monkeypatch.setattr(Classic, "toArrow", refuse)
+    docs = spark.createDataFrame([(k, "good words here" if k % 2 else "bad junk there") for k in range(40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id bigint, quality int")
+    learned = quality.fit(docs, labels)
+    assert learned[2] == 40
+    scores = {r.doc_id: r.score for r in quality.score(docs, learned).collect()}
+    assert all((scores[k] > 0.5) == bool(k % 2) for k in range(40))
+    weights, constant, n = quality.fit(docs, labels.where("quality > 1"))
+    assert not weights.any() and (constant, n) == (0.0, 0)

@@ -196,6 +196,15 @@ def test_merge_of_many_rows_of_a_key_is_dealt(spark):
         join.merge(a, b, on="k", how="left", many=True)
 
 
+@pytest.mark.parametrize("name", ["merge_missing_keys"])
+def test_pairs_of_blocks_are_not_written(spark, name):
+    from weft.plans import registry
+
+    made = registry.queries()[name](spark, "/root/testdata/sf0.01")
+    above, _, below = made._jdf.queryExecution().executedPlan().toString().partition("CartesianProduct")
+    assert "Exchange" not in above and "collect_list" in below
+
+
 # ---- seeded columns: mean and variance of each distribution
 def _moments(spark, make):
     got = spark.range(20_000).select(make(["id"]).cast("double").alias("r")).toPandas().r.to_numpy()

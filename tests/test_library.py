@@ -196,7 +196,7 @@ def test_merge_of_many_rows_of_a_key_is_dealt(spark):
         join.merge(a, b, on="k", how="left", many=True)
 
 
-@pytest.mark.parametrize("name", ["merge_missing_keys"])
+@pytest.mark.parametrize("name", ["merge_missing_keys", "merge_missing_keys_whole"])
 def test_pairs_of_blocks_are_not_written(spark, name):
     from weft.plans import registry
 

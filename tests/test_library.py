@@ -356,6 +356,29 @@ def test_many_queries_meet_rows_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, learn.pairwise_distances(rows, rows, "id", "v").collect())) == want and len(want) == 3600
 
 
+def test_similarities_of_all_pairs_without_copies_of_vectors(spark):
+    from weft.plans import registry
+
+    folder = "/root/testdata/sf0.01"
+    ids = [r.vec_id for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id").collect()]
+    made = registry.queries()["learn_pairwise_cosine_similarity"](spark, folder)
+    assert {(r["query"], r["key"]) for r in made.collect()} == {(x, y) for x in ids for y in ids}
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.partition("CartesianProduct")[0] and "explode" not in plan
+
+
+def test_distances_of_blocks_with_missing_numbers(spark, monkeypatch):
+    monkeypatch.setattr(learn, "BLOCK", 3)
+    monkeypatch.setattr(learn, "TILE", (2, 2))
+    rows = spark.createDataFrame([(k, None if k % 7 == 3 else [float(k), None if k % 5 == 4 else 1.0][: 1 + (k % 4 > 0)]) for k in range(20)], "id int, v array<double>").coalesce(1)
+    vectors = {r.id: r.v for r in rows.collect()}
+    fit = lambda a, b: a and b and len(a) == len(b) and None not in a + b
+    want = {(x, y): sum(abs(p - q) for p, q in zip(a, b)) if fit(a, b) else None for x, a in vectors.items() for y, b in vectors.items()}
+    assert {(r["query"], r["key"]): r.distance for r in learn.pairwise_distances(rows, rows, "id", "v", "manhattan").collect()} == want
+    near = {r["query"]: r["key"] for r in learn.pairwise_topk(rows, rows, "id", "v", 1, "manhattan").collect()}
+    assert near == {x: min((d is None, d or 0.0, y) for (w, y), d in want.items() if w == x != y)[2] for x in vectors}
+
+
 def test_distances_come_from_blocks_and_missing_vectors_are_last(spark):
     rows = spark.createDataFrame([(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [1.0, 2.0, 3.0]), (4, [0.0, 0.0]), (5, [math.nan, 1.0]), (7, [1.0, 2.0])], "id int, v array<double>")
     got = learn.pairwise_topk(rows.where("id = 0"), rows, "id", "v", 6)

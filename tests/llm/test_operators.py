@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -615,3 +616,31 @@ def test_quality_features_stay_off_the_driver(spark, monkeypatch):
     assert all((scores[k] > 0.5) == bool(k % 2) for k in range(40))
     weights, constant, n = quality.fit(docs, labels.where("quality > 1"))
     assert not weights.any() and (constant, n) == (0.0, 0)
+
+
+def test_all_labelled_rows_and_features_teach(spark):
+    """Whichever row's text changes, what is learned does; a slice holds few rows."""
+    from weft.llm import quality
+
+    docs = spark.createDataFrame([(k, prose(20)) for k in range(80)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k // 2 % 2) for k in range(80)], "doc_id bigint, quality int")
+    learned = quality.fit(docs, labels, rows=8)
+    assert learned[2] == 80
+    for k in (0, 33, 79):
+        other = docs.withColumn("text", F.when(F.col("doc_id") == k, "other words").otherwise(F.col("text")))
+        assert (quality.fit(other, labels, rows=8)[0] != learned[0]).any()
+    sizes = quality._taught(docs.join(labels, "doc_id").selectExpr("cast(doc_id % 10 as int) as slice", "quality as label", "text").repartition(3, "slice").sortWithinPartitions("slice"), 18, 8).groupBy("slice").agg(F.max("n").alias("n"), F.count("*").alias("c")).collect()
+    assert [(r.n, r.c) for r in sizes] == [(8, quality.CHUNKS)] * 10
+    long = " ".join(f"w{k}" for k in range(40_000)).encode()
+    bags = quality._Folded()
+    bags.add(pa.array([long.decode(), ""]), pa.array([1, 0]), 18)
+    every, first = quality.features(np.frombuffer(long, np.uint8), np.array([0, len(long)]), 18)
+    assert bags[0][0].tolist() == np.unique(every).tolist() and len(bags[0][0]) > 20_000 and len(bags[1][0]) == 0 and abs(bags[0][1].sum() - 1) < 1e-3
+
+
+def test_rare_class_teaches_many_slices(spark):
+    from weft.llm import quality
+
+    docs = spark.createDataFrame([(k, prose(30) if k > 1 else "spam $$$ " * 20) for k in range(102)] + [(200, "spam $$$ " * 9)], "doc_id bigint, text string")
+    learned = quality.fit(docs, spark.createDataFrame([(k, int(k > 1)) for k in range(102)], "doc_id bigint, quality int"), rows=10)
+    assert learned[2] == 102 and quality.score(docs.where("doc_id = 200"), learned).first().score < 0.5
